@@ -31,30 +31,30 @@ def _counts_within_rows(df: DataFrame, doc: str, text: str) -> DataFrame:
     is the distance from its first position to the first position of the next.
     """
     words = df.select(F.col(doc), F.sort_array(tokens(text)).alias("_words"))
-    # an empty token sorts first and only occurs alone, in a text without letters
-    words = words.where(F.get("_words", F.lit(0)) != "")
+    # An empty token sorts first and stands alone, in a text without letters: such a
+    # text has no starts.  (A filter on the words would be pushed below the sort and
+    # tokenize every text twice.)
     starts = words.select(
         doc,
         "_words",
         F.filter(
             F.sequence(F.lit(0), F.size("_words") - 1),
-            lambda i: (i == 0) | (F.get("_words", i) != F.get("_words", i - 1)),
+            lambda i: F.get("_words", i) != F.when(i > 0, F.get("_words", i - 1)).otherwise(""),
         ).alias("_starts"),
     )
+    # The totals travel inside the entries: a column that is kept beside an explode is
+    # copied for every exploded row, and these arrays are as long as the document.
     entries = F.transform(
         F.col("_starts"),
         lambda start, k: F.struct(
             F.get("_words", start).alias("word"),
             (F.coalesce(F.get("_starts", k + 1), F.size("_words")) - start).cast("long").alias("n"),
+            F.size("_starts").cast("long").alias("_terms"),
+            F.size("_words").cast("long").alias("_tokens"),
         ),
     )
-    exploded = starts.select(
-        doc,
-        F.size("_starts").cast("long").alias("_terms"),
-        F.size("_words").cast("long").alias("_tokens"),
-        F.explode(entries).alias("_entry"),
-    )
-    return exploded.select(doc, "_entry.word", "_entry.n", "_terms", "_tokens")
+    exploded = starts.select(doc, F.explode(entries).alias("_entry"))
+    return exploded.select(doc, "_entry.word", "_entry.n", "_entry._terms", "_entry._tokens")
 
 
 def _counts_across_rows(df: DataFrame, doc: str, text: str) -> DataFrame:
