@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
+HOT_SHARE = 1000  # a document with more than 1/1000 of all (document, word) rows is hot
+
 
 def _is_one_row_per_doc(df: DataFrame, doc: str) -> bool:
     repeated = df.groupBy(doc).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
@@ -68,14 +70,45 @@ def _counts_with_totals(df: DataFrame, doc: str, text: str, one_row_per_doc: boo
     if one_row_per_doc:
         return _counts_within_rows(df, doc, text)
     counts = _counts_across_rows(df, doc, text)
-    # Both totals read n, so this branch has the same shuffle as `counts` and reuses
-    # it.  Joining (not a window over doc) lets a huge document be split over tasks.
+    # Both totals read n, so this branch has the same shuffle as `counts` and reuses it.
     totals = counts.groupBy(F.col(doc).alias("_doc")).agg(
         F.count_if(F.col("n") > 0).alias("_terms"),
         F.sum("n").alias("_tokens"),
     )
-    joined = counts.join(totals, F.col(doc).eqNullSafe(F.col("_doc")))
-    return joined.select(doc, "word", "n", "_terms", "_tokens")
+    return _attach_totals(counts, totals, doc)
+
+
+def _attach_totals(counts: DataFrame, totals: DataFrame, doc: str) -> DataFrame:
+    """Join every (doc, word, n) row with its document's totals, skewed or not.
+
+    A document with more than one in ``HOT_SHARE`` of all rows is hot.  There are
+    fewer than ``HOT_SHARE`` of those by arithmetic, so their totals are broadcast;
+    in the shuffle join with the other totals their rows are dealt out by word
+    instead of all meeting at one document's task.
+    """
+    whole = totals.agg(F.sum("_terms").alias("_all"))
+    hot = totals.crossJoin(F.broadcast(whole)).where(F.col("_terms") * HOT_SHARE > F.col("_all"))
+    hot = hot.select(
+        F.col("_doc").alias("_hot_doc"), F.col("_terms").alias("_hot_terms"), F.col("_tokens").alias("_hot_tokens")
+    )
+
+    def place(column: str) -> Column:
+        return F.pmod(F.hash(column), F.lit(HOT_SHARE))
+
+    flagged = counts.join(F.broadcast(hot), F.col(doc).eqNullSafe(F.col("_hot_doc")), "left")
+    is_hot = F.col("_hot_terms").isNotNull()
+    flagged = flagged.withColumn("_place", F.when(is_hot, place("word")).otherwise(place(doc)))
+    placed = totals.withColumn("_doc_place", place("_doc"))
+    # Null-safe on both: a plain equality would add an "is not null" filter below the
+    # totals, and their shuffle would no longer be the one that `counts` has.
+    same_doc = F.col(doc).eqNullSafe(F.col("_doc")) & F.col("_place").eqNullSafe(F.col("_doc_place"))
+    return flagged.join(placed, same_doc, "left").select(
+        doc,
+        "word",
+        "n",
+        F.coalesce("_hot_terms", "_terms").alias("_terms"),
+        F.coalesce("_hot_tokens", "_tokens").alias("_tokens"),
+    )
 
 
 def word_counts(df: DataFrame, text: str, keep_blank: bool = False) -> DataFrame:

@@ -231,7 +231,7 @@ def job_avg_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_bank_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "orders").select(layout(
-        " ", F.concat(F.lit("B"), F.col("o_custkey")), F.year("o_orderdate"),
+        " ", F.concat(F.lit("B"), F.col("o_custkey")), F.to_date("o_orderdate"),
         F.floor("o_totalprice").cast("int")).alias("value"))
     return jobs.bank_transfers(spark, _write_text(spark, lines, "transfers"))
 
@@ -275,7 +275,7 @@ def job_oldest_tree_per_district(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_patient_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     counseling = F.when(F.col("o_orderstatus") == "F", "Yes").otherwise("No")
     lines = table(spark, sf_dir, "orders").select(
-        layout(", ", "o_orderkey", F.month("o_orderdate"), counseling).alias("value"))
+        layout(", ", "o_orderkey", F.floor(F.col("o_totalprice") / 10000).cast("int"), counseling).alias("value"))
     return jobs.patient_filter(spark, _write_text(spark, lines, "patients"))
 
 

@@ -152,9 +152,10 @@ ORACLE: dict[str, str] = {
     "job_oldest_tree_per_district": f"""
         SELECT district_name, max(age_of_tree) AS age_of_tree FROM ({_TREES}) GROUP BY district_name""",
     "job_patient_filter": """
-        SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(month(o_orderdate) AS INTEGER) AS patient_cycle_num,
+        SELECT CAST(o_orderkey AS VARCHAR) AS id,
+               CAST(floor(o_totalprice / 10000) AS INTEGER) AS patient_cycle_num,
                CASE WHEN o_orderstatus = 'F' THEN 'Yes' ELSE 'No' END AS counseling
-        FROM orders WHERE month(o_orderdate) <> 1 OR o_orderstatus = 'F'""",
+        FROM orders WHERE CAST(floor(o_totalprice / 10000) AS INTEGER) <> 1 OR o_orderstatus = 'F'""",
     "job_score_comp": _SCORE.format(key="'N' || c_nationkey", name='"character"'),
     "job_sym_diff": _ONE_SIDED_ORDERS.format(shown="'O' || k AS id"),
     "job_read_folder_files": "SELECT s_suppkey || chr(9) || s_name AS line FROM supplier",

@@ -9,6 +9,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_LOCAL_DIRS: list[tempfile.TemporaryDirectory] = []  # go away with the process
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -45,7 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 @cache
 def _local_dir(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix=f"tallyfold-{application_id}-")
+    _LOCAL_DIRS.append(tempfile.TemporaryDirectory(prefix=f"tallyfold-{application_id}-", ignore_cleanup_errors=True))
+    return _LOCAL_DIRS[-1].name
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -12,7 +12,8 @@ from ..functions.fields import layout
 
 def _in_key_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Total order by the keys, then by every other sortable column, so that rows
-    of one huge key are spread over several part files instead of one."""
+    of one huge key are spread over several part files instead of one.  Only rows
+    that are equal in every column stay together."""
     return df.orderBy(*keys, *[c for c in df.columns if c not in keys])
 
 

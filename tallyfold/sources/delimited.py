@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from ..functions.fields import number
 
 # Fixed value: a comma with an even number of quotes after it, so one outside quotes.
-COMMA_OUTSIDE_QUOTES = r',(?=([^"]*"[^"]*")*[^"]*$)'
+# Possessive repeats: looking ahead never backtracks.
+COMMA_OUTSIDE_QUOTES = r',(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'
 
 
 def _schema(schema: T.StructType | str) -> T.StructType:

@@ -200,6 +200,19 @@ def test_documents_over_many_rows_share_the_count_shuffle(spark):
     got = sorted(((r.doc or 0), r.word, r.n, r.tf) for r in tf.collect())
     assert got == [(0, "a", 2, 1.0), (0, "b", 1, 0.5), (1, "a", 1, 1 / 3), (1, "b", 1, 1 / 3), (1, "c", 1, 1 / 3)]
     assert "ReusedExchange" in plan(tf)
+    assert plan(tf).count("Generate explode") == 1  # the texts are tokenized once
+
+
+def test_hot_and_cold_documents(spark):
+    """One document has a third of all rows, thousands of others a few words each."""
+    rng = random.Random(5)
+    letters = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    docs = [(-1, " ".join(rng.choices(letters, k=3))) for _ in range(1500)]
+    docs += [(d, " ".join(rng.choices(letters, k=2))) for d in range(1500) for _ in range(2)]
+    df = spark.createDataFrame(docs, "doc INT, t STRING").repartition(6)
+    for norm in ("distinct", "total"):
+        got = ops.max_tf(df, "doc", "t", norm).select("word", "docs", "doc", "tf")
+        assert sorted(tuple(r) for r in got.collect()) == brute_max_tf(docs, norm)
 
 
 def test_a_long_document_stays_linear(spark):
