@@ -120,3 +120,25 @@ def test_spread_leaves_a_scan_with_enough_splits_alone(spark, tmp_path):
     assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(0, 100, 1, 16)
     assert spread(wide) is wide
+
+
+class FakeSession:
+    """Just the settings of a session."""
+
+    def __init__(self, **settings):
+        self.settings = {k.replace("_", "."): v for k, v in settings.items()}
+        self.conf = self
+
+    def get(self, key, default=None):
+        return self.settings.get(key, default)
+
+
+def test_the_sessions_own_folder_is_used():
+    session = FakeSession(spark_checkpoint_dir="store://bucket/tmp/", spark_master="yarn")
+    assert shared_dir(session) == "store://bucket/tmp"
+    assert new_path(session, "pairs").startswith("store://bucket/tmp/pairs-")
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(FakeSession(spark_master="yarn"))
