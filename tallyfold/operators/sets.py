@@ -30,13 +30,16 @@ def split_tagged(lines: DataFrame, line: str = "value", id_name: str = "id", tag
 
     A first token of digits only means the second set (tag 1) with its id in the
     second column; anything else means the first set (tag 0) with its id in the
-    first column.  A line of the second set without a second column is an error.
+    first column.  Blanks at the end of a line separate nothing.  A line without its
+    id column is an error.
     """
-    parts = F.split(F.col(line), " ")
-    second_set = F.get(parts, F.lit(0)).rlike(ALL_DIGITS)
-    missing = F.raise_error(F.concat(F.lit("no id in line: "), F.col(line)))
-    right_id = F.coalesce(F.get(parts, F.lit(1)), missing)
-    return lines.select(
-        F.when(second_set, right_id).otherwise(F.get(parts, F.lit(0))).alias(id_name),
+    kept = F.rtrim(F.col(line))
+    split = lines.select(line, F.explode(F.array(F.split(kept, " "))).alias("_parts"))
+    first, second = F.get("_parts", F.lit(0)), F.get("_parts", F.lit(1))
+    second_set = first.rlike(ALL_DIGITS)
+    error = F.raise_error(F.concat(F.lit("no id in line: "), F.col(line)))
+    blanks_only = (first == "") & (F.col(line) != "")
+    return split.select(
+        F.when(second_set, F.coalesce(second, error)).when(blanks_only, error).otherwise(first).alias(id_name),
         F.when(second_set, F.lit(1)).otherwise(F.lit(0)).alias(tag_name),
     )

@@ -120,8 +120,9 @@ def test_sym_diff(spark, folder, out, lines):
     path = folder(a="id1 111\nid6 212\nid3 984\nid3 985", b="999 id8\n15 id4\n93 id1")
     assert rows(jobs.sym_diff(spark, path, out)) == [("id3",), ("id4",), ("id6",), ("id8",)]
     assert lines(out) == ["id3\t", "id4\t", "id6\t", "id8\t"]
-    with pytest.raises(Exception, match="no id in line"):
-        jobs.sym_diff(spark, folder(a="12")).collect()
+    for bad in ("12", "12 ", "id1 1\n  "):
+        with pytest.raises(Exception, match="no id in line"):
+            jobs.sym_diff(spark, folder(a=bad)).collect()
 
 
 def test_read_folder_files(spark, folder, out, lines):
