@@ -26,8 +26,12 @@ def _is_one_row_per_doc(df: DataFrame, doc: str) -> bool:
     return repeated.isEmpty()
 
 
-def _counts_within_rows(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, word, n, _terms, _tokens) of one-row documents, without a shuffle.
+# Totals of a document: how many distinct words, or how many words.
+NORMS = {"distinct": "_terms", "total": "_tokens"}
+
+
+def _counts_within_rows(df: DataFrame, doc: str, text: str, total: str | None = None) -> DataFrame:
+    """(doc, word, n) of one-row documents and the wanted total, without a shuffle.
 
     The words of a row are sorted, so equal words stand together: a word's count
     is the distance from its first position to the first position of the next.
@@ -44,19 +48,20 @@ def _counts_within_rows(df: DataFrame, doc: str, text: str) -> DataFrame:
             lambda i: F.get("_words", i) != F.when(i > 0, F.get("_words", i - 1)).otherwise(""),
         ).alias("_starts"),
     )
-    # The totals travel inside the entries: a column that is kept beside an explode is
+    # The total travels inside the entries: a column that is kept beside an explode is
     # copied for every exploded row, and these arrays are as long as the document.
+    totals = {"_terms": F.size("_starts"), "_tokens": F.size("_words")}
     entries = F.transform(
         F.col("_starts"),
         lambda start, k: F.struct(
             F.get("_words", start).alias("word"),
-            (F.coalesce(F.get("_starts", k + 1), F.size("_words")) - start).cast("long").alias("n"),
-            F.size("_starts").cast("long").alias("_terms"),
-            F.size("_words").cast("long").alias("_tokens"),
+            (F.coalesce(F.get("_starts", k + 1), F.size("_words")) - start).alias("n"),
+            *([totals[total].alias(total)] if total else []),
         ),
     )
     exploded = starts.select(doc, F.explode(entries).alias("_entry"))
-    return exploded.select(doc, "_entry.word", "_entry.n", "_entry._terms", "_entry._tokens")
+    numbers = ["n"] + ([total] if total else [])
+    return exploded.select(doc, "_entry.word", *[F.col(f"_entry.{c}").cast("long").alias(c) for c in numbers])
 
 
 def _counts_across_rows(df: DataFrame, doc: str, text: str) -> DataFrame:
@@ -64,11 +69,11 @@ def _counts_across_rows(df: DataFrame, doc: str, text: str) -> DataFrame:
     return words.groupBy(doc, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _counts_with_totals(df: DataFrame, doc: str, text: str, one_row_per_doc: bool | None) -> DataFrame:
+def _counts_with_total(df: DataFrame, doc: str, text: str, total: str, one_row_per_doc: bool | None) -> DataFrame:
     if one_row_per_doc is None:
         one_row_per_doc = _is_one_row_per_doc(df, doc)
     if one_row_per_doc:
-        return _counts_within_rows(df, doc, text)
+        return _counts_within_rows(df, doc, text, total)
     counts = _counts_across_rows(df, doc, text)
     # Both totals read n, so this branch has the same shuffle as `counts` and reuses it.
     totals = counts.groupBy(F.col(doc).alias("_doc")).agg(
@@ -127,24 +132,20 @@ def doc_word_counts(df: DataFrame, doc: str, text: str, one_row_per_doc: bool |
     if one_row_per_doc is None:
         one_row_per_doc = _is_one_row_per_doc(df, doc)
     if one_row_per_doc:
-        return _counts_within_rows(df, doc, text).select(doc, "word", "n")
+        return _counts_within_rows(df, doc, text)
     return _counts_across_rows(df, doc, text)
 
 
-def _frequency(norm: str) -> Column:
-    divisors = {"distinct": "_terms", "total": "_tokens"}
-    if norm not in divisors:
-        raise ValueError(f"norm must be one of {sorted(divisors)}, not {norm!r}")
-    return F.col("n").cast("double") / F.col(divisors[norm]).cast("double")
-
-
 def term_frequency(
     df: DataFrame, doc: str, text: str, norm: str = "distinct", one_row_per_doc: bool | None = None
 ) -> DataFrame:
     """(doc, word, n, tf): a word's count over the document's number of distinct
     words, or with ``norm='total'`` over its number of words."""
-    tf = _frequency(norm)
-    return _counts_with_totals(df, doc, text, one_row_per_doc).select(doc, "word", "n", tf.alias("tf"))
+    if norm not in NORMS:
+        raise ValueError(f"norm must be one of {sorted(NORMS)}, not {norm!r}")
+    counts = _counts_with_total(df, doc, text, NORMS[norm], one_row_per_doc)
+    tf = F.col("n").cast("double") / F.col(NORMS[norm]).cast("double")
+    return counts.select(doc, "word", "n", tf.alias("tf"))
 
 
 def max_tf(

@@ -9,6 +9,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SMALL_SCAN_BYTES = 1 << 30
 _LOCAL_DIRS: list[tempfile.TemporaryDirectory] = []  # go away with the process
 
 
@@ -56,13 +57,16 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal a scan with fewer splits than cores out over the cores.
+    """Deal a small scan with fewer splits than cores out over the cores.
 
     Meant for per-row work that costs far more than moving the row (tokenizing).
     A table in one small file is one split, so one core would do everything.
-    A large table already has more splits than there are cores and is returned
-    as it is: no shuffle.  ``scan`` must be a plain scan, because its split count
-    is read from the physical plan.
+    A scan above ``SMALL_SCAN_BYTES``, or with a split for every core, is returned
+    as it is: no shuffle.  ``scan`` must be a plain scan, because its size and its
+    split count are read from its plan.
     """
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    if size > SMALL_SCAN_BYTES or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfold import session
 from tallyfold.session import new_path, shared_dir, spread
 from tallyfold.sinks import write_lines, write_pairs
 from tallyfold.sources import read_delimited, read_lines, read_pairs, read_whole_files
@@ -113,13 +114,15 @@ def test_paths_in_the_shared_folder_are_new(spark):
     assert new_path(spark, "x") != new_path(spark, "x")
 
 
-def test_spread_leaves_a_scan_with_enough_splits_alone(spark, tmp_path):
+def test_spread_leaves_large_scans_and_scans_with_enough_splits_alone(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     spark.range(100).repartition(16).write.option("maxRecordsPerFile", 5).parquet(path)
     small = spark.read.parquet(path).coalesce(1)
     assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(0, 100, 1, 16)
     assert spread(wide) is wide
+    monkeypatch.setattr(session, "SMALL_SCAN_BYTES", 10)
+    assert spread(small) is small
 
 
 class FakeSession:
@@ -134,9 +137,9 @@ class FakeSession:
 
 
 def test_the_sessions_own_folder_is_used():
-    session = FakeSession(spark_checkpoint_dir="store://bucket/tmp/", spark_master="yarn")
-    assert shared_dir(session) == "store://bucket/tmp"
-    assert new_path(session, "pairs").startswith("store://bucket/tmp/pairs-")
+    fake = FakeSession(spark_checkpoint_dir="store://bucket/tmp/", spark_master="yarn")
+    assert shared_dir(fake) == "store://bucket/tmp"
+    assert new_path(fake, "pairs").startswith("store://bucket/tmp/pairs-")
 
 
 def test_a_cluster_without_a_shared_folder_is_an_error():
