@@ -65,7 +65,7 @@ def spread(scan: DataFrame) -> DataFrame:
     as it is: no shuffle.  ``scan`` must be a plain scan, because its size and its
     split count are read from its plan.
     """
-    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if size > SMALL_SCAN_BYTES or scan.rdd.getNumPartitions() >= cores:
         return scan
