@@ -20,6 +20,7 @@ from ..sources import read_delimited, read_lines, read_pairs, read_whole_files
 from . import jobs
 
 MONEY = 2  # places after the point of the money columns
+LINES_PER_FILE = 200_000  # of files that are read whole: a few megabytes per cell, and no swarm of files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -213,7 +214,7 @@ def line_scan_with_file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers in small files; every file is read whole and cut into lines again."""
     lines = table(spark, sf_dir, "customer").select(layout("\t", "c_custkey", "c_name").alias("value"))
-    files = read_whole_files(spark, _write_text(spark, lines, "whole", max_lines_per_file=1000))
+    files = read_whole_files(spark, _write_text(spark, lines, "whole", LINES_PER_FILE))
     return files.select(F.explode(F.split("content", "\n")).alias("line")).where("line <> ''")
 
 
@@ -293,7 +294,7 @@ def job_read_folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flattened files, cut at the joins: file names and sizes are the
     writer's, the lines are not."""
     lines = table(spark, sf_dir, "supplier").select(layout("\t", "s_suppkey", "s_name").alias("value"))
-    flat = jobs.read_folder_files(spark, _write_text(spark, lines, "folder", max_lines_per_file=1000))
+    flat = jobs.read_folder_files(spark, _write_text(spark, lines, "folder", LINES_PER_FILE))
     return flat.select(F.explode(F.split("content", " --- ")).alias("line")).where("line <> ''")
 
 
