@@ -6,22 +6,78 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, mixture, quality, simhash
 from .common import table
 
 
+def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.taken(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixture": op1_mixture,
+    "op3_quality": op3_quality,
     "op9_decontaminate": op9_decontaminate,
+    "op10_simhash": op10_simhash,
 }
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op1_mixture": r"""
+WITH sizes AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 9) AS place
+  FROM documents
+),
+ranked AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight
+  FROM sizes GROUP BY source
+),
+levels AS (
+  SELECT *, 3 * CAST(source_size AS DOUBLE) AS ceiling,
+         CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER before, 0) AS DOUBLE)
+           / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM ranked
+  WINDOW before AS (ORDER BY 3 * CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+goals AS (
+  SELECT source, source_size,
+         CASE WHEN level * weight > ceiling THEN ceiling
+              ELSE least(ceiling, weight * first_value(CASE WHEN level * weight <= ceiling THEN level END IGNORE NULLS)
+                OVER (ORDER BY ceiling / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) END AS target
+  FROM levels
+),
+rests AS (
+  SELECT *, greatest(0.0, target - whole * source_size) AS rest
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-9) AS BIGINT) ELSE 0 END AS whole FROM goals)
+),
+places AS (SELECT source, place, sum(size) AS inside FROM sizes GROUP BY source, place),
+running AS (SELECT *, sum(inside) OVER (PARTITION BY source ORDER BY place) AS after FROM places),
+bounds AS (
+  SELECT r.source, min(p.place) AS bound, min(p.after) AS after, arg_min(p.inside, p.place) AS inside
+  FROM rests r JOIN running p ON r.source IS NOT DISTINCT FROM p.source AND p.after > r.rest GROUP BY r.source
+)
+SELECT s.doc_id, s.size, r.source_size, r.target,
+       s.size * (r.whole + CASE WHEN s.place < b.bound THEN 1
+                                WHEN s.place = b.bound AND b.after - r.rest < r.rest - (b.after - b.inside) THEN 1 ELSE 0 END) AS taken
+FROM sizes s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source
+LEFT JOIN bounds b ON s.source IS NOT DISTINCT FROM b.source
+""",
     "op9_decontaminate": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM benchmark),
@@ -36,8 +92,8 @@ dw AS (
 ),
 hits AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, s)),
 words AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit
-  FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM hits) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id
 ),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids

@@ -35,3 +35,46 @@ def contamination(documents, items, window=13):
         ids = sorted(str(i) for i in own if i is not None)
         out[doc, text] = (len(words), len(hit), len(ids), sha(",".join(ids)), bool(hit) and 20 * len(hit) >= len(words))
     return out
+
+
+def components(ids, linked):
+    """Least id reachable from every place; ``linked(i, j)`` says which places are linked."""
+    n, root = len(ids), list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                root[find(i)] = find(j)
+    least = {}
+    for i in range(n):
+        if ids[i] is not None:
+            least[find(i)] = min(least.get(find(i), ids[i]), ids[i])
+    return [least.get(find(i)) for i in range(n)]
+
+
+def fingerprint(text):
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(text))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def quality_counts(text):
+    words = WS_WORD.findall(text or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    inside = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if WS_WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(inside), n < 50 or 100 * len(inside) > 50 * n
