@@ -78,3 +78,45 @@ def quality_counts(text):
             seen.add(line)
     n = len(words)
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(inside), n < 50 or 100 * len(inside) > 50 * n
+
+
+def base_spans(text):
+    """The base spans of personal data by kind and start."""
+    text = text or ""
+    digits = lambda m: re.sub("[^0-9]", "", m)
+
+    def luhn(m):
+        total = 0
+        for i, d in enumerate(reversed(digits(m))):
+            total += sum(divmod(int(d) * (1 + i % 2), 10))
+        return total % 10 == 0
+
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(m)),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    }
+    return [(k, m.start(), m.end()) for k, (p, ok) in kinds.items() for m in re.finditer(p, text) if ok(m[0])]
+
+
+def pii_row(text):
+    spans = base_spans(text)
+    counts = [sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")]
+    return (*counts, sha(",".join(":".join(map(str, s)) for s in spans)))
+
+
+def without_repeats(docs, length=100):
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256) of (doc_id, text) rows in order."""
+    seen, out = set(), []
+    for doc, text in docs:
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            window = data[i : i + length]
+            if window in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(window)
+        kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+        out.append((doc, len(data), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(kept)))
+    return out
