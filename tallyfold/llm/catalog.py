@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixture, pii, quality, simhash, suffix_dedup
+from . import decontaminate, html_text, language_id, mixture, pii, ppm, preferences, quality, simhash, suffix_dedup
 from .common import table
 
 
@@ -26,10 +26,22 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_rows(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest_rows(table(spark, sf_dir, "pages"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest_rows(table(spark, sf_dir, "documents"))
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.digest_rows(table(spark, sf_dir, "documents"))
+
+
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.digest_rows(table(spark, sf_dir, "conversations"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,7 +55,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality": op3_quality,
     "op4_pii": op4_pii,
+    "op5_html_text": op5_html_text,
     "op6_language": op6_language,
+    "op7_ppm": op7_ppm,
+    "op8_preferences": op8_preferences,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
 }
@@ -92,6 +107,44 @@ SELECT s.doc_id, s.size, r.source_size, r.target,
                                 WHEN s.place = b.bound AND b.after - r.rest < r.rest - (b.after - b.inside) THEN 1 ELSE 0 END) AS taken
 FROM sizes s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source
 LEFT JOIN bounds b ON s.source IS NOT DISTINCT FROM b.source
+""",
+    "op8_preferences": r"""
+WITH turns AS (
+  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair, coalesce(conv_id % 2 <> 0, false) AS side, conv_id,
+         coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations
+),
+said AS (
+  SELECT *, '<|' || replace(role, '<|', '<||') || '|>' || chr(10) AS opening, replace(text, '<|', '<||') || '<|end|>' || chr(10) AS body FROM turns
+),
+pairs AS (
+  SELECT pair, min(conv_id) FILTER (NOT side) AS chosen_id, min(conv_id) FILTER (side) AS rejected_id,
+         least(count(*) FILTER (NOT side), count(*) FILTER (side)) AS shortest
+  FROM turns GROUP BY pair
+),
+firsts AS (
+  SELECT c.pair, min(c.i) - 1 AS n FROM turns c JOIN turns r ON c.pair IS NOT DISTINCT FROM r.pair AND c.i = r.i AND NOT c.side AND r.side
+  WHERE c.role <> r.role OR c.text <> r.text GROUP BY c.pair
+),
+commons AS (SELECT p.*, CAST(coalesce(f.n, p.shortest) AS BIGINT) AS n_common FROM pairs p LEFT JOIN firsts f ON p.pair IS NOT DISTINCT FROM f.pair),
+rest AS (
+  SELECT s.*, n_common, coalesce(sum(length(opening || body)) OVER (PARTITION BY s.pair, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(opening) AS start
+  FROM said s JOIN commons c ON s.pair IS NOT DISTINCT FROM c.pair WHERE i > n_common
+),
+prompts AS (
+  SELECT s.pair, string_agg(opening || body, '' ORDER BY i) AS prompt
+  FROM said s JOIN commons c ON s.pair IS NOT DISTINCT FROM c.pair WHERE i <= n_common AND NOT side GROUP BY s.pair
+),
+ends AS (
+  SELECT pair, string_agg(opening || body, '' ORDER BY i) FILTER (NOT side) AS chosen, string_agg(opening || body, '' ORDER BY i) FILTER (side) AS rejected,
+         string_agg(start || ':' || (start + length(body)), ',' ORDER BY i) FILTER (NOT side AND role = 'assistant') AS chosen_mask,
+         string_agg(start || ':' || (start + length(body)), ',' ORDER BY i) FILTER (side AND role = 'assistant') AS rejected_mask
+  FROM rest GROUP BY pair
+)
+SELECT c.pair, chosen_id, rejected_id, n_common, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen, coalesce(rejected, '') AS rejected,
+       coalesce(chosen_mask, '') AS chosen_mask, coalesce(rejected_mask, '') AS rejected_mask
+FROM commons c LEFT JOIN prompts p ON c.pair IS NOT DISTINCT FROM p.pair LEFT JOIN ends e ON c.pair IS NOT DISTINCT FROM e.pair
 """,
     "op9_decontaminate": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),

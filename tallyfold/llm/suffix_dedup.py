@@ -138,19 +138,27 @@ def _repeated_segments(documents: DataFrame, id_type: str) -> DataFrame:
 # --- 3. suffix arrays -----------------------------------------------------------------
 
 
-def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order, and the place of each; a suffix ends where its segment does.
-
-    ``ends`` is the end of the segment of every position.  Suffixes are first ordered by
-    eight bytes; then groups of equal ones, and only those, are ordered by the rank of
-    what follows, which doubles the depth.  Suffixes equal to their ends keep their order.
-    """
+def byte_keys(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Seven bytes from every position as a number; the end of a segment is less than any byte."""
     n = len(data)
     at = np.arange(n)
     padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64) + np.uint64(1)
     key = np.zeros(n, np.uint64)
-    for j in range(7):  # nine bits each: 0 is beyond the end
+    for j in range(7):  # nine bits each
         key = (key << np.uint64(9)) | np.where(at + j < ends, padded[j : j + n], np.uint64(0))
+    return key
+
+
+def suffix_array(key: np.ndarray, depth: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order, and the place of each; a suffix ends where its segment does.
+
+    ``key`` orders them by their first ``depth`` symbols, ``ends`` is the end of the
+    segment of every position.  Groups of equal suffixes, and only those, are ordered by
+    the rank of what follows, which doubles the depth.  Suffixes equal to their ends keep
+    their order.
+    """
+    n = len(key)
+    at = np.arange(n)
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     rank = np.empty(n, np.int64)
@@ -164,7 +172,6 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
 
     many = name(order, np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])), at)
     slots = at[many]  # places in the order that are not settled
-    depth = 7
     longest = int((ends - at).max(initial=0))
     while len(slots) and depth < longest:
         members = order[slots]
@@ -232,7 +239,7 @@ class Shards:
         ends = np.cumsum(sizes)
         starts = ends - sizes
         stop = np.repeat(ends, sizes)
-        order, place = suffix_array(data, stop)
+        order, place = suffix_array(byte_keys(data, stop), 7, stop)
         shared = common_prefixes(data, starts, ends, order, place)
         # equal windows are neighbours in the order: what stands between them begins alike
         group = np.cumsum(shared[order] < self.length)

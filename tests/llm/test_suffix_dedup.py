@@ -56,7 +56,7 @@ def test_suffix_array_and_common_prefixes():
     ends = np.cumsum([len(p) for p in pieces])
     starts = ends - [len(p) for p in pieces]
     stop = np.repeat(ends, ends - starts)
-    order, place = op.suffix_array(data, stop)
+    order, place = op.suffix_array(op.byte_keys(data, stop), 7, stop)
     suffix = [bytes(data[i : stop[i]]) for i in range(len(data))]
     assert order.tolist() == sorted(range(len(data)), key=lambda i: (suffix[i], i))
     shared = op.common_prefixes(data, starts, ends, order, place)
