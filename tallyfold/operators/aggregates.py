@@ -22,7 +22,8 @@ def total(value: Column | str, scale: int | None = None) -> Column:
 
     A sum of doubles depends on the order in which tasks finish.  With ``scale``
     the values are added as decimals with that many places: exact for money, and
-    the same on every run and every cluster size.  Values must stay below
+    the same on every run and every cluster size.  A value with more places is rounded
+    to them, half up, before it is added (0.005 at two places is 0.01).  Values must stay below
     10 ** (18 - scale); larger ones are an error under ANSI mode, never wrapped.
     """
     value = F.col(value) if isinstance(value, str) else value

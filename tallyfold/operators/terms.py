@@ -7,8 +7,9 @@ word, moves data, already reduced to one row per word and task.  When a document
 is spread over many rows (lines of a file), its words are counted with a shuffle
 on (document, word), which splits a huge document over all tasks.
 
-``one_row_per_doc`` says which shape the data has.  ``None`` finds out with a
-small job over the document column alone, so the result is right either way.
+``one_row_per_doc=True`` says that every document is one row.  It is for tables
+whose document column is a declared key: with repeated documents the result would be
+wrong.  The default is right for either shape.
 """
 
 from __future__ import annotations
@@ -18,12 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
-HOT_SHARE = 1000  # a document with more than 1/1000 of all (document, word) rows is hot
-
-
-def _is_one_row_per_doc(df: DataFrame, doc: str) -> bool:
-    repeated = df.groupBy(doc).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    return repeated.isEmpty()
+# Names that the steps below use themselves; a document column is renamed on entry.
+_DOC = "_document"
 
 
 # Totals of a document: how many distinct words, or how many words.
@@ -69,9 +66,16 @@ def _counts_across_rows(df: DataFrame, doc: str, text: str) -> DataFrame:
     return words.groupBy(doc, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _counts_with_total(df: DataFrame, doc: str, text: str, total: str, one_row_per_doc: bool | None) -> DataFrame:
-    if one_row_per_doc is None:
-        one_row_per_doc = _is_one_row_per_doc(df, doc)
+def _own(df: DataFrame, doc: str, text: str, result: list[str]) -> DataFrame:
+    """The document column under a name of ours, and the text."""
+    if doc in result:
+        raise ValueError(f"a document column named {doc!r} clashes with the result's; rename it")
+    return df.select(F.col(doc).alias(_DOC), F.col(text).alias("_text"))
+
+
+def _counts_with_total(
+    df: DataFrame, doc: str, text: str, total: str, one_row_per_doc: bool, hot_share: int | None
+) -> DataFrame:
     if one_row_per_doc:
         return _counts_within_rows(df, doc, text, total)
     counts = _counts_across_rows(df, doc, text)
@@ -80,25 +84,29 @@ def _counts_with_total(df: DataFrame, doc: str, text: str, total: str, one_row_p
         F.count_if(F.col("n") > 0).alias("_terms"),
         F.sum("n").alias("_tokens"),
     )
-    return _attach_totals(counts, totals, doc)
+    return _attach_totals(counts, totals, doc, hot_share)
 
 
-def _attach_totals(counts: DataFrame, totals: DataFrame, doc: str) -> DataFrame:
+def _attach_totals(counts: DataFrame, totals: DataFrame, doc: str, hot_share: int | None) -> DataFrame:
     """Join every (doc, word, n) row with its document's totals, skewed or not.
 
-    A document with more than one in ``HOT_SHARE`` of all rows is hot.  There are
-    fewer than ``HOT_SHARE`` of those by arithmetic, so their totals are broadcast;
+    A document with more than one in ``hot_share`` of all rows is hot.  There are
+    fewer than ``hot_share`` of those by arithmetic, so their totals are broadcast;
     in the shuffle join with the other totals their rows are dealt out by word
-    instead of all meeting at one document's task.
+    instead of all meeting at one document's task.  Without a number it is twice the
+    shuffle partitions: no task then gets much more than half of the mean from one
+    document.
     """
+    if hot_share is None:
+        hot_share = 2 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = totals.agg(F.sum("_terms").alias("_all"))
-    hot = totals.crossJoin(F.broadcast(whole)).where(F.col("_terms") * HOT_SHARE > F.col("_all"))
+    hot = totals.crossJoin(F.broadcast(whole)).where(F.col("_terms") * hot_share > F.col("_all"))
     hot = hot.select(
         F.col("_doc").alias("_hot_doc"), F.col("_terms").alias("_hot_terms"), F.col("_tokens").alias("_hot_tokens")
     )
 
     def place(column: str) -> Column:
-        return F.pmod(F.hash(column), F.lit(HOT_SHARE))
+        return F.pmod(F.hash(column), F.lit(hot_share))
 
     flagged = counts.join(F.broadcast(hot), F.col(doc).eqNullSafe(F.col("_hot_doc")), "left")
     is_hot = F.col("_hot_terms").isNotNull()
@@ -127,40 +135,44 @@ def word_counts(df: DataFrame, text: str, keep_blank: bool = False) -> DataFrame
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def doc_word_counts(df: DataFrame, doc: str, text: str, one_row_per_doc: bool | None = None) -> DataFrame:
+def doc_word_counts(df: DataFrame, doc: str, text: str, one_row_per_doc: bool = False) -> DataFrame:
     """Occurrences of every word in every document: (doc, word, n)."""
-    if one_row_per_doc is None:
-        one_row_per_doc = _is_one_row_per_doc(df, doc)
-    if one_row_per_doc:
-        return _counts_within_rows(df, doc, text)
-    return _counts_across_rows(df, doc, text)
+    own = _own(df, doc, text, ["word", "n"])
+    counted = _counts_within_rows(own, _DOC, "_text") if one_row_per_doc else _counts_across_rows(own, _DOC, "_text")
+    return counted.select(F.col(_DOC).alias(doc), "word", "n")
+
+
+def _scored(df: DataFrame, doc: str, text: str, norm: str, one_row_per_doc: bool, hot_share: int | None, result: list[str]) -> DataFrame:
+    if norm not in NORMS:
+        raise ValueError(f"norm must be one of {sorted(NORMS)}, not {norm!r}")
+    counts = _counts_with_total(_own(df, doc, text, result), _DOC, "_text", NORMS[norm], one_row_per_doc, hot_share)
+    tf = F.col("n").cast("double") / F.col(NORMS[norm]).cast("double")
+    return counts.select(_DOC, "word", "n", tf.alias("tf"))
 
 
 def term_frequency(
-    df: DataFrame, doc: str, text: str, norm: str = "distinct", one_row_per_doc: bool | None = None
+    df: DataFrame, doc: str, text: str, norm: str = "distinct", one_row_per_doc: bool = False, hot_share: int | None = None
 ) -> DataFrame:
     """(doc, word, n, tf): a word's count over the document's number of distinct
     words, or with ``norm='total'`` over its number of words."""
-    if norm not in NORMS:
-        raise ValueError(f"norm must be one of {sorted(NORMS)}, not {norm!r}")
-    counts = _counts_with_total(df, doc, text, NORMS[norm], one_row_per_doc)
-    tf = F.col("n").cast("double") / F.col(NORMS[norm]).cast("double")
-    return counts.select(doc, "word", "n", tf.alias("tf"))
+    scored = _scored(df, doc, text, norm, one_row_per_doc, hot_share, ["word", "n", "tf"])
+    return scored.select(F.col(_DOC).alias(doc), "word", "n", "tf")
 
 
 def max_tf(
-    df: DataFrame, doc: str, text: str, norm: str = "distinct", one_row_per_doc: bool | None = None
+    df: DataFrame, doc: str, text: str, norm: str = "distinct", one_row_per_doc: bool = False, hot_share: int | None = None
 ) -> DataFrame:
     """Per word, the number of documents with it and the document where its term
     frequency is highest, ties by document: (word, docs, doc, tf).
 
     Least (-tf, doc) is the highest frequency in the first document.  It is
     aggregated before the shuffle, so the commonest word sends one row per task
-    and no word's documents are ever brought together.
+    and no word's documents are ever brought together.  A pair has no fixed width,
+    so the plan sorts each task's rows by word; the sort spills like any other.
     """
-    scored = term_frequency(df, doc, text, norm, one_row_per_doc)
-    best = F.min(F.struct((-F.col("tf")).alias("neg_tf"), F.col(doc)))
+    scored = _scored(df, doc, text, norm, one_row_per_doc, hot_share, ["word", "docs", "tf"])
+    best = F.min(F.struct((-F.col("tf")).alias("neg_tf"), F.col(_DOC)))
     per_word = scored.groupBy("word").agg(F.count(F.lit(1)).alias("docs"), best.alias("_best"))
     return per_word.select(
-        "word", "docs", F.col("_best").getField(doc).alias(doc), (-F.col("_best.neg_tf")).alias("tf")
+        "word", "docs", F.col("_best").getField(_DOC).alias(doc), (-F.col("_best.neg_tf")).alias("tf")
     )

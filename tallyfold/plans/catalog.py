@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import operators as ops
 from ..functions import flatten_lines, layout, unpack
-from ..session import new_path, spread
+from ..session import new_path, until_exit
 from ..sinks import write_lines, write_pairs
 from ..sources import read_delimited, read_lines, read_pairs, read_whole_files
 from . import jobs
@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select(*columns))
+    return table(spark, sf_dir, "documents").select(*columns)
 
 
 # --- aggregates -------------------------------------------------------------------
@@ -95,6 +95,14 @@ def compound_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.keep_unless(orders, "o_orderstatus", "P", "o_orderpriority", "1-URGENT")
 
 
+def compound_filter_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NULL in either column: it is neither the unwanted value nor the exempt one."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.nullif("o_orderstatus", F.lit("O")).alias("status"),
+        F.nullif("o_orderpriority", F.lit("2-HIGH")).alias("priority"))
+    return ops.keep_unless(orders, "status", "P", "priority", "1-URGENT")
+
+
 def symmetric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orderkey"))
@@ -117,23 +125,26 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.doc_word_counts(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
+    """``doc_id`` is the key of its table, here and below: one row per document."""
+    return ops.doc_word_counts(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", one_row_per_doc=True)
 
 
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.term_frequency(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
+    return ops.term_frequency(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", one_row_per_doc=True)
 
 
 def term_frequency_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.term_frequency(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", norm="total")
+    return ops.term_frequency(
+        _documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", norm="total", one_row_per_doc=True)
 
 
 def max_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.max_tf(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
+    return ops.max_tf(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", one_row_per_doc=True)
 
 
 def max_tf_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.max_tf(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", norm="total")
+    return ops.max_tf(
+        _documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", norm="total", one_row_per_doc=True)
 
 
 def max_tf_many_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +177,7 @@ def composite_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _write_text(spark: SparkSession, lines: DataFrame, label: str, max_lines_per_file: int = 0) -> str:
     path = new_path(spark, label)
     write_lines(lines, path, max_lines_per_file)
-    return path
+    return until_exit(spark, path)
 
 
 def _two_kinds_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +194,7 @@ def pairs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                               scale=MONEY)
     path = new_path(spark, "pairs")
     write_pairs(counts, path, keys="o_custkey", fmt="tsv")
-    return read_pairs(spark, path, "o_custkey BIGINT, orders BIGINT, total_price DOUBLE")
+    return read_pairs(spark, until_exit(spark, path), "o_custkey BIGINT, orders BIGINT, total_price DOUBLE")
 
 
 def quoted_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +203,7 @@ def quoted_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", F.concat_ws(", ", "p_name", "p_brand").alias("label"), "p_size")
     path = new_path(spark, "quoted")
     write_pairs(parts, path, fmt="csv", header=True)
-    return read_delimited(spark, path, "p_partkey BIGINT, label STRING, p_size INT", quoted=True)
+    return read_delimited(spark, until_exit(spark, path), "p_partkey BIGINT, label STRING, p_size INT", quoted=True)
 
 
 def bad_rows_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,6 +229,66 @@ def whole_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.explode(F.split("content", "\n")).alias("line")).where("line <> ''")
 
 
+def _hard_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with newlines, quotes, tabs and blanks around them, empty strings and NULLs."""
+    key = F.col("doc_id") % 7
+    text = (F.when(key == 0, F.concat(F.lit('  "'), "text", F.lit('"\t ')))
+            .when(key == 1, F.lit("")).when(key == 2, F.lit(None)).otherwise(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), "lang")
+
+
+def texts_roundtrip_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "texts-tsv")
+    write_pairs(_hard_texts(spark, sf_dir), path, keys="doc_id", fmt="tsv")
+    return read_pairs(spark, until_exit(spark, path), "doc_id BIGINT, text STRING, lang STRING")
+
+
+def texts_roundtrip_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the used columns decide about a row, so a NULL text does not drop it."""
+    path = new_path(spark, "texts-csv")
+    write_pairs(_hard_texts(spark, sf_dir).where("text IS NOT NULL"), path, fmt="csv", header=True)
+    return read_delimited(
+        spark, until_exit(spark, path), "doc_id BIGINT, text STRING, lang STRING", quoted=True, multiline=True)
+
+
+def strict_clean_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean text under the strictest rules: any bad row would be an error."""
+    lines = table(spark, sf_dir, "orders").select(layout(",", "o_orderkey", "o_custkey", "o_totalprice").alias("value"))
+    return read_delimited(spark, _write_text(spark, lines, "strict"), "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE",
+                          header=False, on_bad="fail", strict=True)
+
+
+def key_order_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a key-ordered folder, and how many of its files begin before an earlier one ends."""
+    path = new_path(spark, "ordered")
+    write_pairs(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), path, keys="o_custkey", fmt="text")
+    lines = read_lines(spark, until_exit(spark, path)).select(
+        "file_name", F.split_part("value", F.lit("\t"), F.lit(1)).cast("bigint").alias("key"))
+    files = lines.groupBy("file_name").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
+    by_name = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    checked = files.withColumn("before", F.max("high").over(by_name))
+    return checked.agg(F.sum("n").alias("n"), F.count_if(F.col("before") > F.col("low")).alias("overlaps"))
+
+
+def written_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder that is written again holds the second result only."""
+    path = new_path(spark, "twice")
+    for table_name, column in (("customer", "c_name"), ("supplier", "s_name")):
+        write_lines(table(spark, sf_dir, table_name).select(F.col(column).alias("value")), path)
+    return read_lines(spark, until_exit(spark, path)).select("value")
+
+
+def named_folders_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files in folders with blanks and signs in their names, an empty file among them."""
+    path = new_path(spark, "a b+c%41")
+    named = table(spark, sf_dir, "nation").select(F.concat(F.lit("n o"), F.col("n_regionkey")).alias("part"), F.col("n_name").alias("value"))
+    named.write.partitionBy("part").text(path)
+    write_lines(named.select("value").limit(0), f"{path}/part=none at all")
+    files = read_whole_files(spark, f"{until_exit(spark, path)}/*")
+    lines = files.select(F.explode(F.split("content", "\n")).alias("line"), F.col("file_name").rlike(r"^part-[^%]*\.txt$").alias("named"))
+    return lines.groupBy("line", "named").agg(F.count("*").alias("n")).where("line <> ''")
+
+
 # --- the twelve jobs ----------------------------------------------------------------
 
 
@@ -227,7 +298,7 @@ def job_avg_price(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("Zipcode"), F.col("c_acctbal").alias("Price"))
     path = new_path(spark, "houses")
     write_pairs(houses, path, fmt="csv", header=True)
-    return jobs.avg_price(spark, path, scale=MONEY)
+    return jobs.avg_price(spark, until_exit(spark, path), scale=MONEY)
 
 
 def job_bank_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,7 +373,7 @@ def job_max_tf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts written into one folder per language; a language is a document."""
     path = new_path(spark, "languages")
     _documents(spark, sf_dir, "lang", "text").write.partitionBy("lang").text(path)
-    return jobs.max_tf_words(spark, path, doc="lang")
+    return jobs.max_tf_words(spark, until_exit(spark, path), doc="lang")
 
 
 def job_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,6 +382,55 @@ def job_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.top_words(spark, _write_text(spark, lines, "texts"), keep_blank=True)
 
 
+def _job_lines(spark: SparkSession, job: Callable[..., DataFrame], folder: str, **options: object) -> DataFrame:
+    """The text lines that a job writes."""
+    out = new_path(spark, "out")
+    job(spark, folder, out=out, **options)
+    return read_lines(spark, until_exit(spark, out)).select(F.col("value").alias("line"))
+
+
+def lines_bank_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "orders").select(layout(
+        " ", F.concat(F.lit("B"), F.col("o_custkey")), F.to_date("o_orderdate"), F.floor("o_totalprice").cast("int")).alias("value"))
+    return _job_lines(spark, jobs.bank_transfers, _write_text(spark, lines, "transfers"))
+
+
+def lines_max_temp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "events").select(layout(", ", "user_id", F.floor("value").cast("int")).alias("value"))
+    return _job_lines(spark, jobs.max_temp, _write_text(spark, lines, "temperatures"))
+
+
+def lines_medals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit('"Supplier, '), F.col("l_suppkey"), F.lit('"'))
+    blank = F.lit("")
+    lines = table(spark, sf_dir, "lineitem").select(layout(
+        ",", "l_orderkey", name, "l_returnflag", "l_linestatus", blank, blank, blank, F.concat(F.lit("S"), F.col("l_linenumber")),
+        F.col("l_quantity").cast("int"), "l_linenumber", F.lit(1)).alias("value"))
+    return _job_lines(spark, jobs.medals, _write_text(spark, lines, "medals"))
+
+
+def lines_oldest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _job_lines(spark, jobs.oldest_tree, _trees(spark, sf_dir), per_district=True)
+
+
+def lines_patient_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counseling = F.when(F.col("o_orderstatus") == "F", "Yes").otherwise("No")
+    lines = table(spark, sf_dir, "orders").select(
+        layout(", ", "o_orderkey", F.floor(F.col("o_totalprice") / 10000).cast("int"), counseling).alias("value"))
+    return _job_lines(spark, jobs.patient_filter, _write_text(spark, lines, "patients"))
+
+
+def lines_sym_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _job_lines(spark, jobs.sym_diff, _write_text(spark, _two_kinds_of_lines(spark, sf_dir), "ids"))
+
+
+def lines_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines with their places: the order of use is ascending."""
+    lines = _documents(spark, sf_dir, "text").select(F.col("text").alias("value"))
+    written = _job_lines(spark, jobs.top_words, _write_text(spark, lines, "texts"), keep_blank=True)
+    return written.select("line", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("place"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -325,6 +445,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         min_max_normalize,
         normalize_one_per_key,
         compound_filter,
+        compound_filter_nulls,
         symmetric_difference,
         tagged_symmetric_difference,
         flatten_text,
@@ -344,6 +465,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bad_rows_skipped,
         line_scan_with_file_name,
         whole_file_scan,
+        named_folders_whole,
+        texts_roundtrip_tsv,
+        texts_roundtrip_csv,
+        strict_clean_scan,
+        key_order_over_files,
+        written_twice,
         job_avg_price,
         job_bank_transfers,
         job_max_temp,
@@ -357,5 +484,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         job_read_folder_files,
         job_max_tf_words,
         job_top_words,
+        lines_bank_transfers,
+        lines_max_temp,
+        lines_medals,
+        lines_oldest_tree,
+        lines_patient_filter,
+        lines_sym_diff,
+        lines_top_words,
     )
 }

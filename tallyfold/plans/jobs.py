@@ -1,7 +1,8 @@
 """Twelve batch jobs: an input folder in, a result DataFrame out.
 
 Each job takes the session and an input folder.  With ``out`` it also replaces
-that folder by the result, in key order, as text lines of the job's own layout.
+that folder by the result, in key order, as text lines of the job's own layout; the
+returned DataFrame is still lazy, so using it computes the job once more.
 Parsing follows the strict rules (marker lines dropped, bad rows skipped) unless
 ``marker=None`` asks for ordinary one-line headers.
 """
@@ -12,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import flatten_lines, layout
 from ..operators import (
@@ -150,7 +152,10 @@ def max_tf_words(spark: SparkSession, path: str, out: str | None = None, norm: s
     """Per word, the number of files with it and the file where its term frequency
     is highest: (word, docs, file_name, tf).  ``doc`` may name a partition column
     of the folder instead of the file name."""
-    lines = read_lines(spark, path) if doc == "file_name" else spark.read.text(path)
+    if doc == "file_name":
+        lines = read_lines(spark, path)
+    else:  # a typed partition column would make one document of folders 01 and 1
+        lines = spark.read.schema(T.StructType().add("value", "string").add(doc, "string")).text(path)
     result = max_tf(lines, doc, "value", norm=norm, one_row_per_doc=False)
     return _finish(result, out, layout("\t", "word", layout(", ", "docs", doc)), ["word"])
 

@@ -73,6 +73,10 @@ FROM lineitem GROUP BY l_suppkey, l_linestatus
 
 _TREES = "SELECT 'D' || o_custkey AS district_name, CAST(floor(o_totalprice) AS INTEGER) AS age_of_tree FROM orders"
 
+_HARD_TEXTS = """
+SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '  "' || text || '"' || chr(9) || ' ' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE text END AS text, lang
+FROM documents"""
+
 ORACLE: dict[str, str] = {
     "mean_by_key": f"""
         SELECT c_mktsegment, {_MONEY_SUM.format('c_acctbal')} / CAST(count(c_acctbal) AS DOUBLE) AS avg_balance
@@ -101,6 +105,9 @@ ORACLE: dict[str, str] = {
     "compound_filter": """
         SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders
         WHERE o_orderstatus <> 'P' OR o_orderpriority = '1-URGENT'""",
+    "compound_filter_nulls": """
+        SELECT o_orderkey, nullif(o_orderstatus, 'O') AS status, nullif(o_orderpriority, '2-HIGH') AS priority FROM orders
+        WHERE nullif(o_orderstatus, 'O') IS DISTINCT FROM 'P' OR nullif(o_orderpriority, '2-HIGH') IS NOT DISTINCT FROM '1-URGENT'""",
     "symmetric_difference": _ONE_SIDED_ORDERS.format(shown="k AS orderkey"),
     "tagged_symmetric_difference": _ONE_SIDED_ORDERS.format(shown="'O' || k AS id"),
     "flatten_text": "SELECT doc_id, replace(text, chr(10), ' --- ') AS content FROM documents",
@@ -127,6 +134,31 @@ ORACLE: dict[str, str] = {
     "line_scan_with_file_name": """
         SELECT s_suppkey || chr(9) || s_name AS value, true AS named_after_file FROM supplier""",
     "whole_file_scan": "SELECT c_custkey || chr(9) || c_name AS line FROM customer",
+    "named_folders_whole": "SELECT n_name AS line, true AS named, count(*) AS n FROM nation GROUP BY n_name",
+    "texts_roundtrip_tsv": _HARD_TEXTS,
+    "texts_roundtrip_csv": _HARD_TEXTS + " WHERE doc_id % 7 <> 2",
+    "strict_clean_scan": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
+    "key_order_over_files": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS overlaps FROM orders",
+    "written_twice": "SELECT s_name AS value FROM supplier",
+    "lines_bank_transfers": """
+        SELECT 'B' || o_custkey || chr(9) || count(*) || ' ' || CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS line
+        FROM orders GROUP BY o_custkey""",
+    "lines_max_temp": """
+        SELECT user_id || chr(9) || max(CAST(floor(value) AS INTEGER)) AS line FROM events GROUP BY user_id""",
+    "lines_medals": """
+        SELECT '"Supplier, ' || l_suppkey || '",' || l_linestatus || ',,' || l_returnflag || ',S' || l_linenumber || ','
+               || CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) || ',' || CAST(sum(l_linenumber) AS BIGINT) || ',' || count(*) AS line
+        FROM lineitem GROUP BY l_suppkey, l_linestatus, l_returnflag, l_linenumber""",
+    "lines_oldest_tree": f"SELECT district_name || chr(9) || max(age_of_tree) AS line FROM ({_TREES}) GROUP BY district_name",
+    "lines_patient_filter": """
+        SELECT o_orderkey || chr(9) || CAST(floor(o_totalprice / 10000) AS INTEGER) || ' '
+               || CASE WHEN o_orderstatus = 'F' THEN 'Yes' ELSE 'No' END AS line
+        FROM orders WHERE CAST(floor(o_totalprice / 10000) AS INTEGER) <> 1 OR o_orderstatus = 'F'""",
+    "lines_sym_diff": _ONE_SIDED_ORDERS.format(shown="'O' || k || chr(9) AS line"),
+    "lines_top_words": "WITH lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), tokens AS ("
+    + _TOKENS.format(doc="1", text="line", source="lines")
+    + """), top AS (SELECT count(*) AS n, word FROM tokens GROUP BY word ORDER BY n DESC, word LIMIT 10)
+        SELECT n || chr(9) || word AS line, CAST(row_number() OVER (ORDER BY n, word DESC) AS INTEGER) AS place FROM top""",
     "job_avg_price": f"""
         SELECT lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS zipcode,
                {_MONEY_SUM.format('c_acctbal')} / CAST(count(*) AS DOUBLE) AS avg_price

@@ -6,10 +6,9 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-SMALL_SCAN_BYTES = 1 << 30
 _LOCAL_DIRS: list[tempfile.TemporaryDirectory] = []  # go away with the process
 
 
@@ -31,12 +30,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the one given
+    to ``setCheckpointDir``.
 
-    A folder of our own is only made for a local session that names none: there
-    the driver's disk is the only disk.
+    A folder of our own is only made for a local session that names none: there one
+    process holds the driver and all tasks, so its disk is the only disk.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
+    if not configured and hasattr(spark, "sparkContext"):
+        configured = spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     master = spark.conf.get("spark.master", "")
@@ -56,17 +58,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal a small scan with fewer splits than cores out over the cores.
+def until_exit(spark: SparkSession, path: str) -> str:
+    """Let the file system delete ``path``, which has been written, when the driver ends.
 
-    Meant for per-row work that costs far more than moving the row (tokenizing).
-    A table in one small file is one split, so one core would do everything.
-    A scan above ``SMALL_SCAN_BYTES``, or with a split for every core, is returned
-    as it is: no shuffle.  ``scan`` must be a plain scan, because its size and its
-    split count are read from its plan.
+    A result that is read later is still lazy, so nothing can go earlier.
     """
-    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if size > SMALL_SCAN_BYTES or scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path

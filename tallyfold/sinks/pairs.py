@@ -11,10 +11,12 @@ from ..functions.fields import layout
 
 
 def _in_key_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Total order by the keys, then by every other sortable column, so that rows
-    of one huge key are spread over several part files instead of one.  Only rows
-    that are equal in every column stay together."""
-    return df.orderBy(*keys, *[c for c in df.columns if c not in keys])
+    """Total order by the keys, then by a hash of the other columns, so that rows of
+    one huge key are spread over several part files instead of one.  Range bounds
+    are sampled from narrow rows, however wide the table is.  Columns with a map in
+    them cannot be hashed and only ride along."""
+    rest = [f.name for f in df.schema.fields if f.name not in keys and "map<" not in f.dataType.simpleString()]
+    return df.orderBy(*keys, F.xxhash64(*rest) if rest else F.rand(0))
 
 
 def write_pairs(
@@ -22,9 +24,9 @@ def write_pairs(
 ) -> None:
     """Write a result folder, replacing what is there; runs the plan.
 
-    ``fmt`` is ``parquet``, ``csv``, ``tsv`` (both quote where needed and keep
-    empty strings apart from NULL) or ``text`` (fields joined by tabs as they
-    are).  ``keys`` puts the rows in key order; without it no sort is made.
+    ``fmt`` is ``parquet``, ``csv``, ``tsv`` (both quote where needed, keep blanks
+    around a value, and keep empty strings apart from NULL) or ``text`` (fields
+    joined by tabs as they are, for people to read).  ``keys`` puts the rows in key order; without it no sort is made.
     """
     if fmt not in ("parquet", "csv", "tsv", "text"):
         raise ValueError(f"fmt must be parquet, csv, tsv or text, not {fmt!r}")
@@ -36,7 +38,8 @@ def write_pairs(
         df.write.mode("overwrite").parquet(path)
     else:
         sep = "\t" if fmt == "tsv" else ","
-        df.write.mode("overwrite").csv(path, sep=sep, header=header, emptyValue='""', escape='"')
+        df.write.mode("overwrite").csv(path, sep=sep, header=header, emptyValue='""', escape='"',
+                                       ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_lines(lines: DataFrame, path: str, max_lines_per_file: int = 0) -> None:

@@ -13,9 +13,20 @@ from pyspark.sql import types as T
 
 from ..functions.fields import number
 
-# Fixed value: a comma with an even number of quotes after it, so one outside quotes.
-# Possessive repeats: looking ahead never backtracks.
-COMMA_OUTSIDE_QUOTES = r',(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'
+# A field of a line with a comma put before it: a comma, then what is no comma, quoted
+# stretches whole.  Possessive repeats: one pass over the line.
+QUOTED_FIELD = r',((?:[^,"]++|"[^"]*+")*+)'
+# In a line with an odd number of quotes: a comma with an even number of them after it.
+COMMA_BEFORE_PAIRS = r',(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'
+
+
+def _quoted_fields(line: Column) -> Column:
+    fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(QUOTED_FIELD), F.lit(1))
+    even = F.regexp_count(line, F.lit('"')) % 2 == 0
+    return F.when(even, fields).otherwise(F.split(line, COMMA_BEFORE_PAIRS))
+
+
+MISSING = "\ue000"  # what the CSV reader reports for a field that is not there
 
 
 def _schema(schema: T.StructType | str) -> T.StructType:
@@ -35,7 +46,7 @@ def _split_lines(
         lines = lines.where(~F.col("value").contains(marker))
     trimmed = F.regexp_replace("value", f"({re.escape(sep)})+$", "")
     lines = lines.select("value", F.when(F.col("value").endswith(sep), trimmed).otherwise(F.col("value")).alias("_kept"))
-    parts = F.split("_kept", COMMA_OUTSIDE_QUOTES if quoted else re.escape(sep))
+    parts = _quoted_fields(F.col("_kept")) if quoted and sep == "," else F.split("_kept", re.escape(sep))
     has_fields = (F.col("_kept") != "") | (F.col("value") == "")
     split = lines.where(has_fields).select("value", F.explode(F.array(parts)).alias("_parts"))
     return split.select(
@@ -44,9 +55,9 @@ def _split_lines(
 
 
 def _csv_fields(
-    spark: SparkSession, path: str | list[str], names: list[str], sep: str, header: bool, quoted: bool
+    spark: SparkSession, path: str | list[str], names: list[str], sep: str, header: bool, quoted: bool, multiline: bool
 ) -> DataFrame:
-    """Raw text fields by Spark's CSV reader; empty fields count as missing."""
+    """Raw text fields by Spark's CSV reader; an empty field is missing, but quotes around nothing are an empty string."""
     text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     fields = spark.read.csv(
         path,
@@ -57,6 +68,11 @@ def _csv_fields(
         escape='"' if quoted else "\\",
         enforceSchema=True,
         mode="PERMISSIVE",
+        multiLine=multiline,
+        lineSep="\n",
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+        **({"nullValue": MISSING, "emptyValue": ""} if quoted else {}),
     )
     return fields.select(F.concat_ws(sep, *names).alias("_line"), *names)
 
@@ -83,6 +99,7 @@ def read_delimited(
     on_bad: str = "skip",
     fail_on: Sequence[str] = (),
     strict: bool = False,
+    multiline: bool = False,
 ) -> DataFrame:
     """The ``used`` columns (default: all) of every file under a path.
 
@@ -97,7 +114,8 @@ def read_delimited(
     included, and ``header`` is not looked at.
 
     ``quoted`` lets a comma stand inside double quotes.  The quotes are stripped,
-    but with ``marker`` they stay in the field.
+    but with ``marker`` they stay in the field.  ``multiline`` lets a quoted value
+    hold newlines as well (not with ``marker``); a file is then read by one task.
     """
     if on_bad not in ("skip", "fail"):
         raise ValueError(f"on_bad must be skip or fail, not {on_bad!r}")
@@ -105,7 +123,7 @@ def read_delimited(
     names = schema.names
     used = list(used) if used is not None else names
     if marker is None:
-        raw = _csv_fields(spark, path, names, sep, header, quoted)
+        raw = _csv_fields(spark, path, names, sep, header, quoted, multiline)
     else:
         raw = _split_lines(spark, path, names, sep, marker, quoted)
     rules = {n: "fail" if on_bad == "fail" else "parse" if n in fail_on else "skip" for n in used}
@@ -115,5 +133,12 @@ def read_delimited(
 
 
 def read_pairs(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
-    """Tab-separated output of an earlier stage, without a header; a bad row is an error."""
-    return read_delimited(spark, path, schema, sep="\t", header=False, on_bad="fail")
+    """What ``write_pairs(fmt="tsv")`` wrote, as it was: tabs, quotes, newlines, blanks, empty strings and NULL.
+
+    A value that does not parse is an error.  A file is read by one task, because a
+    value may hold newlines; part files are the size of the tasks that wrote them.
+    """
+    schema = _schema(schema)
+    raw = _csv_fields(spark, path, schema.names, "\t", header=False, quoted=True, multiline=True)
+    typed = [_typed(F.col(f.name), F.col("_line"), f, "parse", F.col(f.name).isNotNull(), False) for f in schema.fields]
+    return raw.select(*typed)

@@ -10,52 +10,52 @@ def rows(df):
 
 
 HOUSES = """Address,City,State,Zipcode,Price
-1 Elm Road,Hill,MD,21076,18000
-2 Elm Road,Hill,MD,21076,25000.5
-3 Oak Road,Dale,NC,01002,20000
-Address of nobody,Dale,NC,01002,1
-4 Oak Road,Dale,NC,01002
-5 Oak Road,Dale,NC,01002,cheap
-6 Oak Road,Dale,NC,01002,40000,extra"""
+7 Quay,Varn,ZZ,88401,310
+8 Quay,Varn,ZZ,88401,421.5
+1 Mews,Tolm,QX,00917,64
+Address of nobody,Tolm,QX,00917,1
+2 Mews,Tolm,QX,00917
+3 Mews,Tolm,QX,00917,cheap
+4 Mews,Tolm,QX,00917,96,extra"""
 
 
 def test_avg_price(spark, folder, out, lines):
     result = jobs.avg_price(spark, folder(a=HOUSES), out)
-    assert rows(result) == [("01002", 30000.0), ("21076", 21500.25)]
-    assert lines(out) == ["01002\t30000.0", "21076\t21500.25"]
+    assert rows(result) == [("00917", 80.0), ("88401", 365.75)]
+    assert lines(out) == ["00917\t80.0", "88401\t365.75"]
 
 
 def test_avg_price_with_plain_header_keeps_rows_that_hold_the_marker(spark, folder):
     result = jobs.avg_price(spark, folder(a=HOUSES, b=HOUSES), marker=None)
-    assert rows(result) == [("01002", (20000 + 1 + 40000) / 3), ("21076", 21500.25)]
+    assert rows(result) == [("00917", (64 + 1 + 96) / 3), ("88401", 365.75)]
 
 
-TRANSFERS = "Bank Year Amount\nNB 2000 1000\nEuroB 2010 2000\nJBank 2013 3000\nEuroB 2013 2900\nNB 2009 230"
+TRANSFERS = "Bank Year Amount\nPluto 1951 77\nMint 1948 12\nPluto 1960 8\nZinc 1955 640\nMint 1949 31"
 
 
 def test_bank_transfers(spark, folder, out, lines):
     result = jobs.bank_transfers(spark, folder(a=TRANSFERS), out)
-    assert rows(result) == [("EuroB", 2, 4900), ("JBank", 1, 3000), ("NB", 2, 1230)]
-    assert lines(out) == ["EuroB\t2 4900", "JBank\t1 3000", "NB\t2 1230"]
+    assert rows(result) == [("Mint", 2, 43), ("Pluto", 2, 85), ("Zinc", 1, 640)]
+    assert lines(out) == ["Mint\t2 43", "Pluto\t2 85", "Zinc\t1 640"]
 
 
 def test_bank_transfers_skips_a_missing_amount_and_fails_on_a_bad_one(spark, folder):
-    assert rows(jobs.bank_transfers(spark, folder(a="NB 2000 5\nNB 2001\n"))) == [("NB", 1, 5)]
+    assert rows(jobs.bank_transfers(spark, folder(a="Mint 1951 5\nMint 1952\n"))) == [("Mint", 1, 5)]
     with pytest.raises(Exception, match="bad amount"):
-        jobs.bank_transfers(spark, folder(a="NB 2000 5\nNB 2001 much\n")).collect()
+        jobs.bank_transfers(spark, folder(a="Mint 1951 5\nMint 1952 much\n")).collect()
 
 
 def test_sums_go_past_32_bits(spark, folder):
-    text = "NB 2000 2147483647\n" * 3
-    assert rows(jobs.bank_transfers(spark, folder(a=text))) == [("NB", 3, 3 * 2147483647)]
+    text = "Mint 1951 2147483647\n" * 3
+    assert rows(jobs.bank_transfers(spark, folder(a=text))) == [("Mint", 3, 3 * 2147483647)]
 
 
 def test_max_temp(spark, folder, out, lines):
-    text = "City, Temperature\nBoston, 3\nAthens, 15\nTokyo, 20\nOslo, -4\nOslo, -9\nAthens, 32\nOslo, 1.5"
+    text = "City, Temperature\nVarn, 2\nTolm, 14\nKesh, 27\nUlm, -6\nUlm, -11\nTolm, 29\nUlm, 1.5"
     path = folder(a=text)
-    assert rows(jobs.max_temp(spark, path, out)) == [("Athens", 32), ("Boston", 3), ("Oslo", -4), ("Tokyo", 20)]
-    assert lines(out) == ["Athens\t32", "Boston\t3", "Oslo\t-4", "Tokyo\t20"]
-    assert ("Oslo", 0) in rows(jobs.max_temp(spark, path, floor=0))
+    assert rows(jobs.max_temp(spark, path, out)) == [("Kesh", 27), ("Tolm", 29), ("Ulm", -6), ("Varn", 2)]
+    assert lines(out) == ["Kesh\t27", "Tolm\t29", "Ulm\t-6", "Varn\t2"]
+    assert ("Ulm", 0) in rows(jobs.max_temp(spark, path, floor=0))
 
 
 MEDALS = '''id,name,nationality,sex,date_of_birth,height,weight,sport,gold,silver,bronze
@@ -88,49 +88,48 @@ def test_norm_grades(spark, folder, out, lines):
     assert rows(first) == [("Ann", 6 / 9), ("Bob", 0.0), ("Cyd", 3 / 9)]
 
 
-TREES = "district_name,age_of_tree\nDistrict A,7\nDistrict B,20\nDistrict C,10\nDistrict A,11\nDistrict 0,20"
+TREES = "district_name,age_of_tree\nmoor,41\nfen,88\nheath,63\nmoor,52\ndell,88"
 
 
 def test_oldest_tree(spark, folder, out, lines):
     path = folder(a=TREES)
-    assert rows(jobs.oldest_tree(spark, path, out)) == [("District 0", 20)]
-    assert lines(out) == ["District 0\t20"]
+    assert rows(jobs.oldest_tree(spark, path, out)) == [("dell", 88)]
+    assert lines(out) == ["dell\t88"]
     per_district = jobs.oldest_tree(spark, path, per_district=True)
-    assert rows(per_district) == [("District 0", 20), ("District A", 11), ("District B", 20), ("District C", 10)]
+    assert rows(per_district) == [("dell", 88), ("fen", 88), ("heath", 63), ("moor", 52)]
     assert rows(jobs.oldest_tree(spark, folder(a="district_name,age_of_tree"))) == []
 
 
 def test_patient_filter(spark, folder, out, lines):
-    text = "ID, PatientCycleNum, Counseling\n2345, 1, No\n1234, 22, Yes\n10, 1, Yes\n11, 1, Maybe\n2378, 3, No\n12, 5, "
+    text = "ID, PatientCycleNum, Counseling\n7001, 1, No\n7050, 41, Yes\n88, 1, Yes\n89, 1, Maybe\n7099, 6, No\n90, 5, "
     result = jobs.patient_filter(spark, folder(a=text), out)
-    assert rows(result) == [("10", 1, "Yes"), ("1234", 22, "Yes"), ("2378", 3, "No")]
-    assert lines(out) == ["10\t1 Yes", "2378\t3 No", "1234\t22 Yes"]
+    assert rows(result) == [("7050", 41, "Yes"), ("7099", 6, "No"), ("88", 1, "Yes")]
+    assert lines(out) == ["88\t1 Yes", "7099\t6 No", "7050\t41 Yes"]
 
 
 def test_score_comp(spark, folder, out, lines):
-    text = "Character Num\nA -15.0\nA 2.0\nA -15.0\nD -5.0\nD 18.0\nD -5.0\nΑ -6.0\nΑ 6.0\nΑ -6.0\nE 1.0"
+    text = "Character Num\nK -9.0\nK 3.0\nK -7.0\nM -2.0\nM 13.0\nM -2.0\nΩ -4.0\nΩ 4.0\nΩ -4.0\nP 1.0"
     path = folder(a=text)
-    scores = {"A": 2 / 30, "D": 1.8, "Α": 0.5}
-    assert dict(rows(jobs.score_comp(spark, path, out))) == scores | {"E": None}
-    assert [line.split("\t")[0] for line in lines(out)] == ["A", "D", "E", "Α"]
-    assert dict(rows(jobs.score_comp(spark, path, on_zero="ieee"))) == scores | {"E": float("-inf")}
+    scores = {"K": 3 / 16, "M": 3.25, "Ω": 0.5}
+    assert dict(rows(jobs.score_comp(spark, path, out))) == scores | {"P": None}
+    assert [line.split("\t")[0] for line in lines(out)] == ["K", "M", "P", "Ω"]
+    assert dict(rows(jobs.score_comp(spark, path, on_zero="ieee"))) == scores | {"P": float("-inf")}
 
 
 def test_sym_diff(spark, folder, out, lines):
-    path = folder(a="id1 111\nid6 212\nid3 984\nid3 985", b="999 id8\n15 id4\n93 id1")
-    assert rows(jobs.sym_diff(spark, path, out)) == [("id3",), ("id4",), ("id6",), ("id8",)]
-    assert lines(out) == ["id3\t", "id4\t", "id6\t", "id8\t"]
-    for bad in ("12", "12 ", "id1 1\n  "):
+    path = folder(a="q20 5\nq77 6\nq41 7\nq41 8", b="3 q90\n2 q52\n1 q20")
+    assert rows(jobs.sym_diff(spark, path, out)) == [("q41",), ("q52",), ("q77",), ("q90",)]
+    assert lines(out) == ["q41\t", "q52\t", "q77\t", "q90\t"]
+    for bad in ("12", "12 ", "q20 1\n  "):
         with pytest.raises(Exception, match="no id in line"):
             jobs.sym_diff(spark, folder(a=bad)).collect()
 
 
 def test_read_folder_files(spark, folder, out, lines):
-    path = folder(a="a aa\n111\na1", b=b"caf\xc3\xa9 \xff\n", c="")
-    result = dict(rows(jobs.read_folder_files(spark, path, out)))
-    want = {"a.txt": "a aa --- 111 --- a1", "b.txt": "café � --- "}
-    assert {name: result[name] for name in want} == want
-    assert lines(out)[:2] == [f"{name}\t{content}" for name, content in want.items()]
+    path = folder(a="x yy\n77\nz9", b=b"caf\xc3\xa9 \xff\n", c="")
+    want = {"a.txt": "x yy --- 77 --- z9", "b.txt": "café � --- ", "c.txt": ""}
+    assert dict(rows(jobs.read_folder_files(spark, path, out))) == want
+    assert lines(out) == [f"{name}\t{content}" for name, content in want.items()]
 
 
 BOOK = {
@@ -167,3 +166,11 @@ def test_results_replace_older_results(spark, folder, out, lines):
     jobs.max_temp(spark, folder(a="X, 1\nY, 2"), out)
     jobs.max_temp(spark, folder(a="Z, 3"), out)
     assert lines(out) == ["Z\t3"]
+
+
+def test_partition_folders_are_text(spark, tmp_path):
+    for name, text in (("01", "a a b"), ("1", "a c")):
+        (tmp_path / f"doc={name}").mkdir()
+        (tmp_path / f"doc={name}" / "x.txt").write_text(text)
+    got = {r.word: (r.docs, r.doc) for r in jobs.max_tf_words(spark, str(tmp_path), doc="doc").collect()}
+    assert got == {"a": (2, "01"), "b": (1, "01"), "c": (1, "1")}

@@ -237,3 +237,39 @@ def test_flatten_unpack_layout(spark):
     assert flat == {1: "a --- b --- ", 2: "x#y", 3: None}
     assert rows(unpack(df.where("i = 2"), "t", "#", ["l", "r"])) == [(2, "x", "y")]
     assert {r[0] for r in df.select(layout(",", "i", "t", F.lit(""))).collect()} == {"1,a\nb\n,", "2,x#y,", "3,,"}
+
+
+def test_keep_unless_with_nulls(spark):
+    df = spark.createDataFrame([(1, None), (1, "Yes"), (2, None), (None, "No"), (None, None), (1, "No")], "cycle INT, counseling STRING")
+    kept = ops.keep_unless(df, "cycle", 1, "counseling", "Yes")
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(1, "Yes"), (2, None), (None, "No"), (None, None)]))
+
+
+def test_top_n_without_ties_does_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(i % 3, f"w{i}") for i in range(30)], "n INT, word STRING")
+    answers = {tuple(map(tuple, ops.top_n(df.repartition(k), "n", 4).collect())) for k in (1, 3, 8)}
+    assert len(answers) == 1
+
+
+@pytest.mark.parametrize("name", ["word", "n", "tf", "docs", "_text"])
+@pytest.mark.parametrize("one_row", [True, False])
+def test_document_columns_of_any_name(spark, name, one_row):
+    df = spark.createDataFrame([("d1", "a b a"), ("d2", "b")], f"{name} STRING, t STRING")
+    for run in (ops.doc_word_counts, ops.term_frequency, ops.max_tf):
+        try:
+            got = run(df, name, "t", one_row_per_doc=one_row)
+        except ValueError as error:
+            assert "clashes" in str(error)
+        else:
+            assert {r[name] for r in got.collect()} <= {"d1", "d2"} and got.columns.count(name) == 1
+
+
+def test_repeated_documents_are_right_by_default(spark):
+    df = spark.createDataFrame([("d", "a b"), ("d", "a"), ("e", "a")], "doc STRING, t STRING")
+    assert {(r.doc, r.word): r.tf for r in ops.term_frequency(df, "doc", "t").collect()} == {("d", "a"): 1.0, ("d", "b"): 0.5, ("e", "a"): 1.0}
+    assert {r.tf for r in ops.term_frequency(df, "doc", "t", hot_share=1).collect()} == {1.0, 0.5}
+
+
+def test_places_beyond_the_scale_are_rounded(spark):
+    df = spark.createDataFrame([("k", 0.005), ("k", 0.005)], "k STRING, v DOUBLE")
+    assert ops.mean_by(df, "k", "v", scale=2).first()["mean"] == 0.01

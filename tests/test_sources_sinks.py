@@ -5,8 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfold import session
-from tallyfold.session import new_path, shared_dir, spread
+from tallyfold.session import new_path, shared_dir
 from tallyfold.sinks import write_lines, write_pairs
 from tallyfold.sources import read_delimited, read_lines, read_pairs, read_whole_files
 
@@ -66,8 +65,7 @@ def test_leading_zeros_stay_in_text(spark, folder):
 
 def test_whole_files_and_lines(spark, folder):
     path = folder(a="one\n\ntwo\n", b="", c=b"x\xff")
-    whole = dict(rows(read_whole_files(spark, path)))
-    assert whole["a.txt"] == "one\n\ntwo\n" and whole["c.txt"] == "x�"
+    assert rows(read_whole_files(spark, path)) == [("a.txt", "one\n\ntwo\n"), ("b.txt", ""), ("c.txt", "x�")]
     lines = rows(read_lines(spark, path).where("file_name = 'a.txt'"))
     assert lines == [("a.txt", ""), ("a.txt", "one"), ("a.txt", "two")]
 
@@ -114,17 +112,6 @@ def test_paths_in_the_shared_folder_are_new(spark):
     assert new_path(spark, "x") != new_path(spark, "x")
 
 
-def test_spread_leaves_large_scans_and_scans_with_enough_splits_alone(spark, tmp_path, monkeypatch):
-    path = str(tmp_path / "t")
-    spark.range(100).repartition(16).write.option("maxRecordsPerFile", 5).parquet(path)
-    small = spark.read.parquet(path).coalesce(1)
-    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100, 1, 16)
-    assert spread(wide) is wide
-    monkeypatch.setattr(session, "SMALL_SCAN_BYTES", 10)
-    assert spread(small) is small
-
-
 class FakeSession:
     """Just the settings of a session."""
 
@@ -142,6 +129,57 @@ def test_the_sessions_own_folder_is_used():
     assert new_path(fake, "pairs").startswith("store://bucket/tmp/pairs-")
 
 
+def test_a_checkpoint_folder_set_by_hand_is_used():
+    fake = FakeSession(spark_master="yarn")
+    fake.sparkContext = type("Context", (), {"getCheckpointDir": lambda self: "store://set/by/hand"})()
+    assert shared_dir(fake) == "store://set/by/hand"
+
+
 def test_a_cluster_without_a_shared_folder_is_an_error():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(FakeSession(spark_master="yarn"))
+
+
+@pytest.mark.parametrize("name", ["a b.txt", "50%.txt", "a#b.txt", "x+y.txt", "x%20y.txt", "é.txt"])
+def test_file_names_are_exact(spark, tmp_path, name):
+    (tmp_path / name).write_text("x\n")
+    (tmp_path / f"empty {name}").write_text("")
+    assert rows(read_whole_files(spark, str(tmp_path))) == sorted([(name, "x\n"), (f"empty {name}", "")])
+    assert rows(read_lines(spark, str(tmp_path))) == [(name, "x")]
+
+
+HARD = [("a\tb", 'say "x"', 1), ("", "z", None), (None, "  pad  ", 2), ("two\nlines\r\nthree", '"', 3), ("\\", "", 4), (None, None, None)]
+
+
+def test_tsv_comes_back_as_it_was(spark, out):
+    df = spark.createDataFrame(HARD, "p STRING, q STRING, n INT")
+    write_pairs(df, out, fmt="tsv")
+    back = read_pairs(spark, out, "p STRING, q STRING, n INT")
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, HARD))
+
+
+def test_csv_comes_back_as_it_was(spark, out):
+    df = spark.createDataFrame(HARD, "p STRING, q STRING, n INT")
+    write_pairs(df, out, fmt="csv", header=True)
+    back = read_delimited(spark, out, "p STRING, q STRING, n INT", quoted=True, multiline=True)
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(repr(h) for h in HARD if None not in h)
+
+
+def test_a_bad_value_in_pairs_is_an_error(spark, folder):
+    with pytest.raises(Exception, match="bad n in row"):
+        read_pairs(spark, folder(a="x\ty\n"), "k STRING, n INT").collect()
+
+
+def test_key_order_with_a_map_and_a_wide_column(spark, out):
+    df = spark.range(50).select((F.col("id") % 3).alias("k"), F.create_map(F.lit("a"), "id").alias("m"), F.repeat(F.lit("x"), 1000).alias("wide"))
+    write_pairs(df, out, keys="k")
+    assert spark.read.parquet(out).count() == 50
+    only = df.select("k", "m")
+    write_pairs(only, out, keys="k")
+    assert spark.read.parquet(out).count() == 50
+
+
+def test_a_line_with_very_many_commas_and_quotes(spark, folder):
+    path = folder(a="," * 100_000 + "\n" + '"a, b",1,"",\n' + '"x",,2\n' + 'odd " quote,3\n')
+    got = read_delimited(spark, path, "t STRING, n STRING", marker="#", quoted=True, used=["t"])
+    assert rows(got) == [('"a, b"',), ('"x"',), ('odd " quote',)]
