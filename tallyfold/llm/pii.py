@@ -133,16 +133,23 @@ def _sent(right: DataFrame) -> DataFrame:
     return F.broadcast(right) if right.count() <= MOST_SENT else right
 
 
+def _mutual(total: float, n_term: Column) -> Column:
+    return F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity") * n_term))
+
+
 def disclosing_terms(found: DataFrame, documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """``term, entity, disclosure`` of pairs beyond the threshold, and ``text_hash, term`` of texts with candidates."""
+    total = float(found.select("text_hash").distinct().count())
+    content = F.log2(F.lit(total) / F.col("n_entity"))
     seen = found.select("text_hash", F.explode("entities").alias("e")).select("text_hash", "e.entity", "e.terms")
     texts = seen.groupBy("entity").agg(F.count_distinct("text_hash").alias("n_entity"))
-    both = (
-        seen.select("text_hash", "entity", F.explode("terms").alias("term"))
-        .groupBy("entity", "term").agg(F.count_distinct("text_hash").alias("n_both"))
-        .filter(F.col("n_both") >= SUPPORT)
-    )
-    pairs = stage(both.join(texts, "entity"), "disclosure-pairs")
+    near = seen.select("text_hash", "entity", F.explode("terms").alias("term"))
+    beside = near.groupBy("term").agg(F.count_distinct("text_hash").alias("n_beside"))
+    both = near.groupBy("entity", "term").agg(F.count_distinct("text_hash").alias("n_both")).filter(F.col("n_both") >= SUPPORT)
+    # a term stands in no fewer texts than those that have it beside some entity, so a pair
+    # that would fail with so few fails; this leaves out the words that stand beside all
+    able = _mutual(total, F.col("n_beside")) >= DISCLOSURE * content
+    pairs = stage(both.join(texts, "entity").join(beside, "term").filter((content > 0) & able), "disclosure-pairs")
     candidates = stage(pairs.select("term").distinct(), "candidate-terms")
     words = documents.select(
         F.xxhash64(F.col(text).cast("string")).alias("text_hash"),
@@ -150,11 +157,7 @@ def disclosing_terms(found: DataFrame, documents: DataFrame, text: str = "text")
     )
     holders = stage(words.join(_sent(candidates), "term").select("text_hash", "term").distinct(), "term-holders")
     n_term = holders.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = float(found.select("text_hash").distinct().count())
-    content = F.log2(F.lit(total) / F.col("n_entity"))
-    mutual = F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    disclosure = F.when(content > 0, mutual / content)
-    beyond = pairs.join(n_term, "term").select("term", "entity", disclosure.alias("disclosure"))
+    beyond = pairs.join(n_term, "term").select("term", "entity", (_mutual(total, F.col("n_term")) / content).alias("disclosure"))
     return beyond.filter(F.col("disclosure") >= DISCLOSURE), holders
 
 
