@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import new_path
+from ..session import new_path, until_exit
 
-BLOCK_BYTES = 4 << 20  # texts that one numpy step holds at once; a longer text is a block of its own
+BLOCK_BYTES = 1 << 20  # texts that one numpy step holds at once; a longer text is a block of its own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +26,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(until_exit(df.sparkSession, path))
 
 
 def crc_mod(key: str, n: int) -> Column:

@@ -10,14 +10,15 @@ document, or earlier in the same one) is removed.
    Anchor hashes are counted; the repeated ones go to the tasks as a bitmap of fixed size
    (``SLOT_BITS``), and only segments with such an anchor are looked at again.  A full
    bitmap costs shuffle volume, never a result.
-2. *Equal segments* are grouped by a digest: all windows of all but the first repeat.
-3. *Different segments with one anchor* (the ends of repeats) are dealt out by anchor into
-   shards.  A shard concatenates their bytes, builds the suffix array by prefix doubling
-   that refines unsorted groups only (Larsson and Sadakane), takes common prefixes by
-   Kasai's walk, all segments in step, and so finds equal windows.  Shards of one task are
-   merged by binary search in the sorted windows of the ones before.  An anchor with more
-   than ``HOT`` different segments is spread: its windows are grouped by a digest of
-   their own instead of meeting in one task.
+2. *Equal segments* of one task are found there: all but the first are removed and go no
+   further, so a passage with any number of copies sends one segment per task.
+3. *Shards.*  The others are dealt out by anchor.  A shard concatenates the different
+   segments of its anchors, builds their suffix array by prefix doubling that refines
+   unsorted groups only (Larsson and Sadakane), takes common prefixes by Kasai's walk, all
+   segments in step, and so finds equal windows.  The shards of an anchor are merged by
+   binary search in the sorted windows of those before.  Anchors with more than ``HOT``
+   segments (a second bitmap) are not dealt out whole: their windows travel as digests
+   that are anchors of their own.
 4. The spans of every document are merged and cut out.
 
 Documents are known by their id and a hash of their text, so every step can be run again
@@ -31,19 +32,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_values, prefix_sums, runs, sliding_min, span_hashes, stage
+from .common import blocks, mix, runs, sliding_min
 
 LENGTH = 100
 GRAM = 20
 SLOT_BITS = 27
 HOT = 20_000
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18
+FLUSH = 200_000  # different segments that a task remembers
 
 _PLACE = 24  # bits of an anchor's place in a packed value; blocks are cut below 2 ** 24 bytes
-_CUT = 1 << 22
+_CUT = 1 << 20
 
 
 # --- 1. segments ----------------------------------------------------------------------
@@ -60,13 +62,13 @@ def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
         part = data[lo : lo + _CUT + LENGTH - 1]
         if len(part) < LENGTH:
             break
-        sums = prefix_sums(byte_values(part))
-        at = np.arange(len(part) - GRAM + 1)
-        grams = span_hashes(sums, at, at + GRAM)
-        packed = (grams >> np.uint64(_PLACE) << np.uint64(_PLACE)) | at.astype(np.uint64)
+        grams = gram_values(part)
+        packed = grams >> np.uint64(_PLACE) << np.uint64(_PLACE)
+        packed |= np.arange(len(grams), dtype=np.uint64)
         anchor = (sliding_min(packed, LENGTH - GRAM + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-        row = np.searchsorted(bounds, np.arange(len(anchor)) + lo, "right") - 1
-        whole = np.arange(len(anchor)) + lo + LENGTH <= bounds[row + 1]
+        at = np.arange(lo, lo + len(anchor))
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(np.clip(bounds, lo, lo + len(anchor))))
+        whole = at + LENGTH <= bounds[row + 1]
         starts = np.flatnonzero(whole)
         if not len(starts):
             continue
@@ -80,8 +82,16 @@ def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def gram_values(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``GRAM`` = 20 bytes from every position."""
+    words = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), 0, (1,)).copy()
+    n = len(data) - GRAM + 1
+    out = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(32)
+    out += words[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+    out ^= out >> np.uint64(29)
+    out += words[12 : 12 + n] * np.uint64(0x165667B19E3779F9)
+    return mix(out)
 
 
 def _anchors(documents: DataFrame) -> DataFrame:
@@ -90,65 +100,125 @@ def _anchors(documents: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, bounds in blocks(batch.column(0)):
-                found, counts = np.unique(segments(data, bounds)[3], return_counts=True)
+                found = np.sort(segments(data, bounds)[3].view(np.int64))
+                heads = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else found
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["anchor", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found[heads]), pa.array(np.diff(np.append(heads, len(found))))], names=["anchor", "n"])
+
+    return documents.select("text").mapInArrow(scan, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+
+
+def _bitmaps(anchors: DataFrame, limits: list[int]) -> list[np.ndarray]:
+    """Bits of the slots of anchors with more than each limit of segments, 2 ** SLOT_BITS of them whatever the input."""
+    slot = F.col("anchor").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+    at = (slot % 32768).cast("long")
+    parts = anchors.filter(F.col("n") > min(limits)).groupBy(F.shiftright(slot, 15).cast("int").alias("part")).agg(
+        *[F.call_function("bitmap_construct_agg", F.when(F.col("n") > limit, at)).alias(f"over_{limit}") for limit in limits]
+    ).toPandas()
+    out = [np.zeros((1 << SLOT_BITS) // 8, np.uint8) for _ in limits]
+    for part, *own in parts.itertuples(index=False):
+        for bits, bitmap in zip(out, own, strict=True):
+            bits[part * 4096 : part * 4096 + len(bitmap)] = np.frombuffer(bytes(bitmap), np.uint8)
+    return out
 
-    return documents.select("text").mapInArrow(scan, "anchor long, n long")
 
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slots = (hashes & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
 
-def _bitmap(anchors: DataFrame) -> np.ndarray:
-    """Bits of all slots of ``anchor``, 2 ** SLOT_BITS of them whatever the input."""
-    slot = F.shiftrightunsigned("anchor", 64 - SLOT_BITS)
-    parts = anchors.groupBy(F.floor(slot / 32768).cast("int").alias("part")).agg(
-        F.call_function("bitmap_construct_agg", (slot % 32768).cast("long")).alias("bits")
-    )
-    bits = np.zeros((1 << SLOT_BITS) // 8, np.uint8)
-    for part, own in parts.toPandas().itertuples(index=False):
-        bits[part * 4096 : part * 4096 + len(own)] = np.frombuffer(bytes(own), np.uint8)
-    return bits
 
+_PIECE = ["anchor", "body", "doc_id", "text_hash", "start", "n"]
 
-def _repeated_segments(documents: DataFrame, id_type: str) -> DataFrame:
-    """Staged ``anchor, body, doc_id, text_hash, start, n`` of segments whose anchor may be repeated."""
-    repeated = _anchors(documents).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
-    sent = documents.sparkSession.sparkContext.broadcast(_bitmap(repeated))
+
+def _pieces(documents: DataFrame, id_type: str) -> DataFrame:
+    """Segments with a repeated anchor, the first of every task, and without a body what the task saw repeated."""
+    sent = documents.sparkSession.sparkContext.broadcast(_bitmaps(_anchors(documents), [1, HOT]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        repeated, hot = sent.value
+        seen: dict[bytes, tuple] = {}  # body: (no id, id, hash of text, start, n, anchor)
+        gone: list[tuple] = []  # (id, hash of text, start, n)
+
+        def drop(doc: object, text_hash: int, start: int, n: int) -> None:
+            if gone and gone[-1][:2] == (doc, text_hash) and gone[-1][2] + gone[-1][3] == start:
+                n += gone[-1][3]
+                start = gone.pop()[2]
+            gone.append((doc, text_hash, start, n))
+
+        def add(body: bytes, doc: object, text_hash: int, start: int, n: int, anchor: int) -> None:
+            own = (doc is None, doc, text_hash, start, n, anchor)
+            first = seen.setdefault(body, own)
+            if first[1:4] == own[1:4]:
+                return
+            if own[:4] < first[:4]:
+                seen[body], own = own, first
+            drop(*own[1:5])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = [(v[5], k, *v[1:5]) for k, v in seen.items()]
+            rows += [((h ^ (s * 0x9E3779B97F4A7C15)) % (1 << 62), None, d, h, s, n) for d, h, s, n in gone]
+            seen.clear()
+            gone.clear()
+            for i in range(0, len(rows), 5000):
+                columns = zip(*rows[i : i + 5000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_PIECE)
+
+        types = None
         for batch in batches:
+            types = types or [pa.int64(), pa.binary(), batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64()]
+            docs, text_hashes = batch.column(0), batch.column(1)
             for first, _, data, bounds in blocks(batch.column(2)):
                 rows, lows, counts, hashes = segments(data, bounds)
-                slots = _slot(hashes)
-                keep = np.flatnonzero(bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1)
+                keep = np.flatnonzero(_has(repeated, hashes))
                 rows, lows, counts, hashes = rows[keep], lows[keep], counts[keep], hashes[keep]
-                begin = bounds[rows] + lows
+                begin, spread = bounds[rows] + lows, _has(hot, hashes)
                 raw = data.tobytes()
-                bodies = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begin.tolist(), (begin + counts + LENGTH - 1).tolist(), strict=True)]
-                at = pa.array(rows + first)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(hashes.view(np.int64)), pa.array(bodies, pa.binary()), batch.column(0).take(at), batch.column(1).take(at),
-                    pa.array(lows), pa.array(counts),
-                ], names=["anchor", "body", "doc_id", "text_hash", "start", "n"])
+                row = -1
+                for r, at, start, n, anchor, wide in zip(*(x.tolist() for x in (rows, begin, lows, counts, hashes.view(np.int64), spread)), strict=True):
+                    if r != row:
+                        row, doc, text_hash = r, docs[first + r].as_py(), text_hashes[first + r].as_py()
+                    if wide:
+                        for j in range(n):
+                            digest = xxhash.xxh3_128_digest(raw[at + j : at + j + LENGTH])
+                            add(digest, doc, text_hash, start + j, 1, int.from_bytes(digest[:8], "little", signed=True))
+                    else:
+                        add(raw[at : at + n + LENGTH - 1], doc, text_hash, start, n, anchor)
+                if len(seen) + len(gone) > FLUSH:
+                    yield from flush()
+        if seen or gone:
+            yield from flush()
 
-    picked = documents.select("doc_id", "text_hash", "text")
-    return stage(picked.mapInArrow(scan, f"anchor long, body binary, doc_id {id_type}, text_hash long, start long, n long"), "segments")
+    return documents.select("doc_id", "text_hash", "text").mapInArrow(
+        scan, f"anchor long, body binary, doc_id {id_type}, text_hash long, start long, n long"
+    )
 
 
 # --- 3. suffix arrays -----------------------------------------------------------------
 
 
 def byte_keys(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Seven bytes from every position as a number; the end of a segment is less than any byte."""
+    """Four bytes from every position as a number; the end of a segment is less than any byte."""
     n = len(data)
     at = np.arange(n)
-    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64) + np.uint64(1)
-    key = np.zeros(n, np.uint64)
-    for j in range(7):  # nine bits each
-        key = (key << np.uint64(9)) | np.where(at + j < ends, padded[j : j + n], np.uint64(0))
+    padded = np.concatenate((data, np.zeros(4, np.uint8))).astype(np.int64) + 1
+    key = np.zeros(n, np.int64)
+    for j in range(4):  # nine bits each
+        key = (key << 9) | np.where(at + j < ends, padded[j : j + n], 0)
     return key
 
 
+def _sorted_places(major: np.ndarray, minor: np.ndarray | None, bits: int) -> np.ndarray:
+    """Places in the order of (major, minor, place), numbers of at most ``bits`` bits each in one word if they fit."""
+    n = len(major)
+    wide = max(n - 1, 1).bit_length()
+    if wide + bits * (1 if minor is None else 2) > 63:
+        return np.lexsort((np.arange(n), major) if minor is None else (np.arange(n), minor, major))
+    word = major << wide if minor is None else ((major << bits) | minor) << wide
+    word |= np.arange(n)
+    word.sort()
+    return word & ((1 << wide) - 1)
+
+
 def suffix_array(key: np.ndarray, depth: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order, and the place of each; a suffix ends where its segment does.
 
@@ -159,7 +229,7 @@ def suffix_array(key: np.ndarray, depth: int, ends: np.ndarray) -> tuple[np.ndar
     """
     n = len(key)
     at = np.arange(n)
-    order = np.argsort(key, kind="stable")
+    order = _sorted_places(key, None, int(key.max(initial=0)).bit_length())
     sorted_key = key[order]
     rank = np.empty(n, np.int64)
 
@@ -177,11 +247,11 @@ def suffix_array(key: np.ndarray, depth: int, ends: np.ndarray) -> tuple[np.ndar
         members = order[slots]
         beyond = members + depth >= ends[members]
         follow = np.where(beyond, 0, rank[np.minimum(members + depth, n - 1)] + 1)
-        joint = rank[members] * (n + 2) + follow
-        moved = np.argsort(joint, kind="stable")
-        members, joint = members[moved], joint[moved]
+        own = rank[members]
+        moved = _sorted_places(own, follow, n.bit_length())
+        members, own, follow = members[moved], own[moved], follow[moved]
         order[slots] = members
-        many = name(members, np.concatenate(([True], joint[1:] != joint[:-1])), slots)
+        many = name(members, np.concatenate(([True], (own[1:] != own[:-1]) | (follow[1:] != follow[:-1]))), slots)
         slots = slots[many]
         depth *= 2
     place = np.empty(n, np.int64)
@@ -239,7 +309,7 @@ class Shards:
         ends = np.cumsum(sizes)
         starts = ends - sizes
         stop = np.repeat(ends, sizes)
-        order, place = suffix_array(byte_keys(data, stop), 7, stop)
+        order, place = suffix_array(byte_keys(data, stop), 4, stop)
         shared = common_prefixes(data, starts, ends, order, place)
         # equal windows are neighbours in the order: what stands between them begins alike
         group = np.cumsum(shared[order] < self.length)
@@ -269,77 +339,63 @@ class Shards:
         return piece, begin - starts[piece], end - begin
 
 
-def _shard_repeats(pieces: DataFrame, id_type: str) -> DataFrame:
-    """``doc_id, text_hash, start, n``: runs of windows that start earlier in another piece of their anchor."""
+def _repeats(pieces: DataFrame, id_type: str) -> DataFrame:
+    """``doc_id, text_hash, start, n``: runs of windows that also start earlier."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = Shards()
-        held: list[pa.RecordBatch] = []
+        anchor: int | None = None
+        firsts: dict[bytes, tuple] = {}  # different bodies of the anchor at hand, in document order
+        shard: list[tuple[int, bytes, tuple]] = []
+        out: list[tuple] = []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            piece, offset, count = shards.repeats(rows.column(0).to_numpy(), rows.column(4).to_pylist())
-            if len(piece):
-                at = pa.array(piece)
-                start = rows.column(3).to_numpy()[piece] + offset
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(1).take(at), rows.column(2).take(at), pa.array(start), pa.array(count)],
-                    names=["doc_id", "text_hash", "start", "n"],
-                )
-
+        def cut_shard() -> None:
+            found = shards.repeats(np.array([s[0] for s in shard], np.int64), [s[1] for s in shard])
+            for piece, offset, n in zip(*(x.tolist() for x in found), strict=True):
+                doc, text_hash, start = shard[piece][2]
+                out.append((doc, text_hash, start + offset, n))
+            shard.clear()
+
+        def close() -> None:
+            nonlocal size
+            if len(firsts) > 1:
+                for body, place in firsts.items():
+                    shard.append((anchor, body, place))
+                    size += len(body)
+                    if size > SHARD_BYTES:
+                        cut_shard()
+                        size = 0
+            firsts.clear()
+
+        def emit() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_hash", "start", "n"])
+
+        types = None
         for batch in batches:
-            step = max(1, len(batch) * SHARD_BYTES // max(batch.nbytes, 1))
-            for i in range(0, len(batch), step):
-                part = batch.slice(i, step)
-                held.append(part)
-                size += part.get_total_buffer_size() * len(part) // max(len(batch), 1)
-                if size >= SHARD_BYTES:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
+            types = types or [batch.schema.field(2).type, pa.int64(), pa.int64(), pa.int64()]
+            for own, body, doc, text_hash, start, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if body is None:
+                    out.append((doc, text_hash, start, n))
+                    continue
+                if own != anchor:
+                    close()
+                    anchor = own
+                place = (doc, text_hash, start)
+                if firsts.setdefault(body, place) != place:
+                    out.append((*place, n))
+            if len(out) > 5000:
+                yield emit()
+        close()
+        if shard:
+            cut_shard()
+        if out:
+            yield emit()
 
     dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").isNull(), "doc_id", "text_hash", "start")
-    return dealt.select("anchor", "doc_id", "text_hash", "start", "body").mapInArrow(
-        scan, f"doc_id {id_type}, text_hash long, start long, n long"
-    )
-
-
-def _order(*more: str) -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start", *more)
-
-
-def _later(members: DataFrame, keys: list[str], firsts: DataFrame) -> DataFrame:
-    """Members of a group that are not its first one."""
-    first = F.col("first")
-    same = F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("text_hash") == first["text_hash"]) & (F.col("start") == first["start"])
-    return members.join(firsts, keys).filter(~same).select("doc_id", "text_hash", "start", "n")
-
-
-def _hot_repeats(pieces: DataFrame, id_type: str) -> DataFrame:
-    """As ``_shard_repeats``, by a digest of each window, for anchors with very many different segments."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), 1000):
-                part = batch.slice(i, 1000)
-                at, start, window = [], [], []
-                for k, (begin, body) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
-                    for j in range(len(body) - LENGTH + 1):
-                        at.append(k)
-                        start.append(begin + j)
-                        window.append(xxhash.xxh3_128_digest(body[j : j + LENGTH]))
-                at = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(window, pa.binary()), part.column(1).take(at), part.column(2).take(at), pa.array(start, pa.int64()), pa.array([1] * len(start), pa.int64())],
-                    names=["window", "doc_id", "text_hash", "start", "n"],
-                )
-
-    windows = stage(pieces.select("anchor", "doc_id", "text_hash", "start", "body").mapInArrow(
-        scan, f"window binary, doc_id {id_type}, text_hash long, start long, n long"
-    ), "hot-windows")
-    return _later(windows, ["window"], windows.groupBy("window").agg(F.min(_order()).alias("first")))
+    return dealt.select(*_PIECE).mapInArrow(scan, f"doc_id {id_type}, text_hash long, start long, n long")
 
 
 # --- 2 and 4. all together --------------------------------------------------------------
@@ -353,22 +409,7 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     """
     docs = _keyed(documents, doc_id, text)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = _repeated_segments(docs, id_type)
-    firsts = stage(found.groupBy("anchor", "body").agg(F.min(_order("n")).alias("first")), "first-segments")
-    counts = firsts.groupBy("anchor").agg(F.count("*").alias("bodies")).filter("bodies > 1")
-    ends = firsts.join(counts, "anchor").select("anchor", "bodies", "first.doc_id", "first.text_hash", "first.start", "first.n")
-    wanted = ends.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "bodies", "start", "n")).alias("pieces"))
-    texts = docs.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}).join(
-        wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))
-    ).dropDuplicates(["doc_id", "text_hash"])
-    raw = F.encode("text", "UTF-8")
-    cut = F.transform("pieces", lambda p: F.struct(p["anchor"], p["bodies"], p["start"], F.substring(raw, p["start"].cast("int") + 1, (p["n"] + LENGTH - 1).cast("int")).alias("body")))
-    pieces = stage(texts.select("doc_id", "text_hash", F.explode(cut).alias("p")).select("doc_id", "text_hash", "p.*"), "pieces")
-    spans = (
-        _later(found, ["anchor", "body"], firsts)
-        .unionByName(_shard_repeats(pieces.filter(F.col("bodies") <= HOT), id_type))
-        .unionByName(_hot_repeats(pieces.filter(F.col("bodies") > HOT), id_type))
-    )
+    spans = _repeats(_pieces(docs, id_type), id_type)
     ordered = F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + LENGTH - 1).alias("end"))))
     return spans.groupBy("doc_id", "text_hash").agg(ordered.alias("spans"))
 

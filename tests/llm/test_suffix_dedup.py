@@ -33,8 +33,8 @@ def hostile(seed):
 @pytest.mark.parametrize("seed", range(3))
 def test_hostile_texts(spark, seed, monkeypatch):
     monkeypatch.setattr(op, "SHARD_BYTES", [300, 2000, 1 << 20][seed])
-    if seed == 1:
-        monkeypatch.setattr(op, "HOT", 2)
+    monkeypatch.setattr(op, "HOT", [20_000, 3, 20_000][seed])
+    monkeypatch.setattr(op, "FLUSH", [200_000, 20, 1][seed])
     docs = hostile(seed)
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, start int, anchor string").repartition(5)
     assert got(op.digest_rows(df)) == sorted(map(repr, brute.without_repeats(sorted(docs, key=lambda d: d[0]))))
@@ -56,7 +56,7 @@ def test_suffix_array_and_common_prefixes():
     ends = np.cumsum([len(p) for p in pieces])
     starts = ends - [len(p) for p in pieces]
     stop = np.repeat(ends, ends - starts)
-    order, place = op.suffix_array(op.byte_keys(data, stop), 7, stop)
+    order, place = op.suffix_array(op.byte_keys(data, stop), 4, stop)
     suffix = [bytes(data[i : stop[i]]) for i in range(len(data))]
     assert order.tolist() == sorted(range(len(data)), key=lambda i: (suffix[i], i))
     shared = op.common_prefixes(data, starts, ends, order, place)
