@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, byte_values, gram_hashes, mix, prefix_sums, runs, sliding_min, span_hashes, stage
+from .keys import matching, split_by_slot
 
 WINDOW = 13
 GRAM = 5
@@ -189,14 +190,12 @@ def _covered(spans: str) -> F.Column:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are not contaminated, all columns as they came.
-
-    Only the ids and text hashes of contaminated documents are joined back.
-    """
+    """The documents that are not contaminated, all columns as they came; those that stay are not moved."""
     bad = contamination(documents, benchmark, doc_id, text, **options).filter("contaminated")
-    bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_bad_hash"))
-    return documents.join(bad, same, "left_anti")
+    bad = stage(bad.select("doc_id", "text_hash").distinct(), "contaminated")
+    own = [F.col(doc_id), F.xxhash64(F.col(text).cast("string"))]
+    sure, unsure = split_by_slot(documents, own, bad)
+    return sure.union(matching(unsure, own, bad, "left_anti"))
 
 
 def digest_rows(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import stage
 from .components import components
+from .keys import matching, split_by_slot
 
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
 BLOCKS = 8
 PAIRS = list(combinations(range(BLOCKS), 2))  # of blocks that a table leaves out
+HOT_SHARE = 1000
 LANES = 1 << 16  # compared in one numpy step
 ABANDON = 8  # words of 64 lanes that are abandoned together
 
@@ -198,7 +200,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     empty table gives no rows.  Other columns are not read.
     """
     prints = stage(fingerprints(documents, doc_id, text, shingle), "fingerprints")
-    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct-fingerprints")
     stars = components(links(distinct), "left", "right")
     roots = stars.select("node", "root").union(stars.select("root", "root").distinct()).toDF("fp", "root")
     linked = roots.join(distinct, "fp")
@@ -207,32 +209,34 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     ids = distinct.join(named, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "rep").alias("component_id")
     )
-    return prints.join(ids, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    # a fingerprint with more than one in HOT_SHARE of all rows keeps its rows where they are;
+    # there are fewer than HOT_SHARE of those by arithmetic
+    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(distinct.filter(F.col("n") * HOT_SHARE > total).select("fp"))
+    hot_ids = F.broadcast(ids.join(hot, "fp", "left_semi"))
+    cold = prints.join(hot, "fp", "left_anti").join(ids, "fp")
+    return prints.join(hot_ids, "fp").unionByName(cold).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Of every group the row with the least id, all columns as they came.
 
-    Only ids and hashes are joined back.  Rows that share id and text are one document:
+    Rows that stay are not moved.  Rows that share id and text are one document:
     one of them stays.
     """
     found = stage(near_duplicates(documents, doc_id, text, shingle), "groups")
     rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n")
     winners = rows.groupBy("root").agg(F.min(order).alias("win"))
-    lost = rows.join(winners, "root").filter(
+    lost = stage(rows.join(winners, "root").filter(
         ~(F.col("doc_id").eqNullSafe(F.col("win.doc_id")) & (F.col("text_hash") == F.col("win.text_hash")))
-    )
-    repeated = winners.filter("win.n > 1").select("win.doc_id", "win.text_hash")
-
-    def same(keys: DataFrame) -> tuple[DataFrame, F.Column]:
-        keys = keys.select(F.col("doc_id").alias("_key_id"), F.col("text_hash").alias("_key_hash"))
-        own = F.xxhash64(F.col(text).cast("string"))
-        return keys, F.col(doc_id).eqNullSafe(F.col("_key_id")) & (own == F.col("_key_hash"))
-
-    kept = documents.join(*same(lost), "left_anti")
-    single = kept.join(*same(repeated), "left_anti")
-    return single.union(kept.join(*same(repeated), "left_semi").dropDuplicates([doc_id, text]))
+    ).select("doc_id", "text_hash").distinct(), "lost")
+    repeated = stage(winners.filter("win.n > 1").select("win.doc_id", "win.text_hash"), "repeated")
+    own = [F.col(doc_id), F.xxhash64(F.col(text).cast("string"))]
+    sure, unsure = split_by_slot(documents, own, lost.union(repeated))
+    kept = matching(unsure, own, lost, "left_anti")
+    copies = matching(kept, own, repeated, "left_semi").dropDuplicates([doc_id, text])
+    return sure.union(matching(kept, own, repeated, "left_anti")).union(copies)
 
 
 def digest_rows(documents: DataFrame) -> DataFrame:
