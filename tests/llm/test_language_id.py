@@ -10,20 +10,20 @@ def test_held_out_accuracy(spark, sf_dir):
     assert len(rows) == len(lang) and all(0 <= r.score <= 1 for r in rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     right = [r.lang_pred == lang[r.doc_id] for r in rows if r.held_out]
-    assert len(right) > 100 and sum(right) / len(right) > 0.95
+    assert len(right) > 100 and sum(right) / len(right) > 0.98
 
 
 def test_nulls_ties_empty_tables(spark):
     en, de = "the cat and the dog were in the house ", "der hund und die katze waren in dem haus "
-    rows = [(1, en * 9, "en"), (2, de * 9, "de"), (3, None, "de"), (4, en * 2000, None), (4, en * 2000, None), (None, "die katze", "x"), (7, "", "en"), (8, "12 !?", "fr"), (9, de, "en"), (None, en * 3, "en")]
+    rows = [(1, en * 9, "en"), (2, de * 9, "de"), (3, None, "de"), (4, en * 2000, None), (4, en * 2000, None), (None, "die katze", "x"), (7, "", "en"), (8, "12 !? ½", "fr"), (9, de, "en"), (None, en * 3, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     dictionaries = op.learn(docs.filter("doc_id < 3"))
-    assert list(dictionaries) == ["de", "en"]
+    assert list(dictionaries) == ["de", "en"]  # equally common: by name
     got = op.identify(docs.withColumnsRenamed({"lang": "score"}), dictionaries)
     assert got.columns == ["doc_id", "text", "lang_pred", "score"]
     found = {(r.doc_id, r.text and r.text[:8]): (r.lang_pred, r.score) for r in got.collect()}
     assert found[4, "the cat "][0] == "en" and found[9, "der hund"][0] == "de" and found[None, "die katz"][0] == "de"
-    assert found[3, None] == found[7, ""] == found[8, "12 !?"] == ("und", 0.0)
+    assert found[3, None] == found[7, ""] == found[8, "12 !? ½"] == ("und", 0.0)
     assert got.count() == len(rows)
     sure = {r.doc_id: r.lang_pred for r in op.identify(docs, dictionaries, min_margin=0.99).collect()}
     assert set(sure.values()) == {"und"}
