@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import operators as ops
 from ..functions import flatten_lines, layout, unpack
-from ..session import new_path, until_exit
+from ..session import TEXT_PARTITIONS_KEY, new_path, until_exit
 from ..sinks import write_lines, write_pairs
 from ..sources import read_delimited, read_lines, read_pairs, read_whole_files
 from . import jobs
@@ -28,7 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(*columns)
+    """Texts where they are read, or dealt out over as many tasks as the session asks for.
+
+    Dealing out is for tables in few unsplittable files and costs a shuffle of the texts,
+    so it is the caller's choice (``TEXT_PARTITIONS_KEY``) and never guessed.
+    """
+    documents = table(spark, sf_dir, "documents").select(*columns)
+    asked = spark.conf.get(TEXT_PARTITIONS_KEY, None)
+    return documents.repartition(int(asked)) if asked else documents
 
 
 # --- aggregates -------------------------------------------------------------------

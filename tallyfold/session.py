@@ -9,6 +9,7 @@ from functools import cache
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+TEXT_PARTITIONS_KEY = "tallyfold.text.partitions"  # tasks that the queries deal texts out to; unset: none
 _LOCAL_DIRS: list[tempfile.TemporaryDirectory] = []  # go away with the process
 
 
