@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import blocks, crc_mod, stage
 
 ORDER = 5
-MAX_CONTEXTS = 100_000
+MAX_CONTEXTS = 50_000
 HOT = 100_000
 HOT_BYTES = 64  # longest word that is looked up in tasks
 FLUSH = 200_000
@@ -160,10 +160,10 @@ def build(contexts: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, counts
     dense[known] = np.arange(len(known))
     if not len(nodes):  # nothing was learned: all 257 symbols are alike
         return Trie(order, dense, np.ones((2, width), np.int32), np.full((2, width), -math.log10(EDGE + 1), np.float32))
-    seen_counts = np.zeros((len(nodes), width))
+    seen_counts = np.zeros((len(nodes), width), np.float32)
     np.add.at(seen_counts, (row, dense[symbols]), counts)
     seen = seen_counts > 0
-    total, distinct = seen_counts.sum(1), seen.sum(1)
+    total, distinct = seen_counts.sum(1, dtype=np.float64), seen.sum(1)
 
     def place(lengths: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         return np.searchsorted(nodes, (lengths << (_BITS * ORDER_LIMIT)) | contexts)
@@ -177,14 +177,14 @@ def build(contexts: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, counts
     cost = np.zeros((len(nodes) + 1, width), np.float32)
     with np.errstate(divide="ignore", invalid="ignore"):
         for k in range(order + 1):
-            for at in np.array_split(np.flatnonzero(length == k), max(1, int((length == k).sum()) // 4000)):
+            for at in np.array_split(np.flatnonzero(length == k), max(1, int((length == k).sum()) // 1000)):
                 if not len(at):
                     continue
                 if k == 0:
                     after[at] = -math.log10(max(EDGE + 1 - int(distinct[at[0]]), 1))
                 else:
                     up = place(length[at] - 1, context[at] & ((1 << (_BITS * (k - 1))) - 1))
-                    n = total[up] - (seen_counts[up] * seen[at]).sum(1)
+                    n = total[up] - (seen_counts[up] * seen[at]).sum(1, dtype=np.float64)
                     d = distinct[up] - distinct[at]
                     escape = np.where(d > 0, np.log10(d / (n + d)), 0.0)[:, None] + after[up]
                     after[at] = np.where(seen[up], np.log10(seen_counts[up] / (n + d)[:, None]), escape)
@@ -212,8 +212,9 @@ def train(texts: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS
     top = totals.orderBy(F.desc("total")).limit(max_contexts + 1).agg(F.count("*"), F.min("total")).first()
     least = top[1] + 1 if top[0] > max_contexts else 0
     kept = F.broadcast(totals.filter(F.col("total") >= least))  # at most max_contexts rows
-    found = rows.join(kept, ["length", "context"]).select("length", "context", "symbol", "n").toPandas()
-    return build(*(found[c].to_numpy(np.int64) for c in ("context", "length", "symbol", "n")), order)
+    small = [F.col("context"), F.col("length").cast("byte"), F.col("symbol").cast("short"), F.col("n").cast("double")]
+    found = rows.join(kept, ["length", "context"]).select(*small).toArrow()  # at most 257 rows per context kept
+    return build(*(c.to_numpy() for c in found.columns), order)
 
 
 # --- scores -------------------------------------------------------------------------
