@@ -196,6 +196,19 @@ def build(contexts: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, counts
 ORDER_LIMIT = 6  # symbols of nine bits that a packed context can hold beside its length
 
 
+def _least_of_most(counted: DataFrame, column: str, most: int) -> int:
+    """The least count above which there are at most ``most`` rows.
+
+    The driver gets one row per different count, of which there are few: their sum is
+    bounded by the corpus.
+    """
+    rows = counted.groupBy(column).count().toPandas().sort_values(column, ascending=False)
+    above = rows[rows["count"].cumsum() <= most]
+    if len(above) == len(rows):
+        return 0
+    return int(above[column].min()) if len(above) else int(rows[column].max()) + 1
+
+
 def train(texts: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> Trie:
     """A trie from all rows of ``texts`` (a column ``text``)."""
     grams = _gram_counts(texts, order)
@@ -209,8 +222,7 @@ def train(texts: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS
         "contexts",
     )
     totals = rows.groupBy("length", "context").agg(F.sum("n").alias("total"))
-    top = totals.orderBy(F.desc("total")).limit(max_contexts + 1).agg(F.count("*"), F.min("total")).first()
-    least = top[1] + 1 if top[0] > max_contexts else 0
+    least = _least_of_most(totals, "total", max_contexts)
     kept = F.broadcast(totals.filter(F.col("total") >= least))  # at most max_contexts rows
     small = [F.col("context"), F.col("length").cast("byte"), F.col("symbol").cast("short"), F.col("n").cast("double")]
     found = rows.join(kept, ["length", "context"]).select(*small).toArrow()  # at most 257 rows per context kept
@@ -235,7 +247,8 @@ def score(documents: DataFrame, training: DataFrame, doc_id: str = "doc_id", tex
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_all = total + n_texts  # every training text has an end token
     below = n_all + 0.1 * (distinct + (n_texts > 0) + 1)
-    hot = words.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(HOT).toPandas()
+    short = words.filter(F.octet_length("word") <= HOT_BYTES)
+    hot = short.filter(F.col("n") >= _least_of_most(short, "n", HOT)).toPandas()
     sent = spark.sparkContext.broadcast((trie, {bytes(w): math.log10((n + 0.1) / below) for w, n in zip(hot["word"], hot["n"], strict=True)}))
     end = math.log10((n_texts + 0.1) / below)
 
