@@ -16,7 +16,7 @@ radius.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -199,9 +199,13 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     of its ids are null.  Copies collapse to one fingerprint before any comparison.  An
     empty table gives no rows.  Other columns are not read.
     """
-    prints = stage(fingerprints(documents, doc_id, text, shingle), "fingerprints")
+    return grouped(stage(fingerprints(documents, doc_id, text, shingle), "fingerprints"), links)
+
+
+def grouped(prints: DataFrame, find_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows ``doc_id, text_hash, fp`` with ``root`` and ``component_id`` of what links between ``fp`` join."""
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct-fingerprints")
-    stars = components(links(distinct), "left", "right")
+    stars = components(find_links(distinct), "left", "right")
     roots = stars.select("node", "root").union(stars.select("root", "root").distinct()).toDF("fp", "root")
     linked = roots.join(distinct, "fp")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
@@ -224,7 +228,12 @@ def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     Rows that stay are not moved.  Rows that share id and text are one document:
     one of them stays.
     """
-    found = stage(near_duplicates(documents, doc_id, text, shingle), "groups")
+    return keep_least(documents, near_duplicates(documents, doc_id, text, shingle), doc_id, text)
+
+
+def keep_least(documents: DataFrame, groups: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The documents without those that are not the least of their ``root`` in ``groups``."""
+    found = stage(groups, "groups")
     rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n")
     winners = rows.groupBy("root").agg(F.min(order).alias("win"))
