@@ -8,11 +8,14 @@ already excluded, down to a uniform choice.  The code length of a text is the su
 its bytes and an end symbol.
 
 Training counts (ORDER + 1)-grams in tasks and sums them by shuffle; counts of shorter
-contexts are sums of longer ones.  The trie keeps the ``MAX_CONTEXTS`` most frequent
-contexts (a prefix or suffix of a context is at least as frequent, so the trie is
-closed), which bounds what the driver holds and the tasks receive.  Since the model no
-longer changes, the whole chain of escapes and exclusions is worked out once for every
-context and symbol, and a text is scored by walking the trie for all its bytes at once.
+contexts are sums of longer ones.  Texts are scored with all contexts, kept as sorted
+keys of what was seen: some tens of bytes for a symbol after a context, which the driver
+gathers and every task receives.  The different grams of a block of texts are looked up
+together, from the longest context they have down to the one that knows the symbol.
+
+``train`` makes a smaller model, a trie of the ``max_contexts`` most frequent contexts (a
+prefix or suffix of a context is at least as frequent, so the trie is closed) in which
+the chain of escapes and exclusions is worked out for every context and symbol.
 
 Beside it stands the base score of whole words, whose counts are complete: the ``HOT``
 most frequent words are looked up in tasks, all others are joined by shuffle.
@@ -209,23 +212,122 @@ def _least_of_most(counted: DataFrame, column: str, most: int) -> int:
     return int(above[column].min()) if len(above) else int(rows[column].max()) + 1
 
 
-def train(texts: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> Trie:
-    """A trie from all rows of ``texts`` (a column ``text``)."""
+@dataclass
+class Contexts:
+    """All contexts of training as sorted keys (length, context), and the symbols seen after each.
+
+    ``pairs`` are sorted keys (row of the context, symbol).  ``up`` is the row of the
+    context one symbol shorter, and ``left`` the log10 of what counts there once the
+    symbols of the longer one are excluded; ``first`` and ``escape`` are the log10 costs
+    of leaving a context that comes first, or one level above it, for the shorter one.
+    """
+
+    order: int
+    nodes: np.ndarray
+    pairs: np.ndarray
+    counts: np.ndarray
+    up: np.ndarray
+    whole: np.ndarray
+    first: np.ndarray
+    left: np.ndarray
+    escape: np.ndarray
+    last: float
+
+    @staticmethod
+    def of(contexts: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, counts: np.ndarray, order: int) -> Contexts:
+        """From rows (context, its length, next symbol, count); a context must come with its suffixes."""
+        nodes, row = np.unique((lengths.astype(np.int64) << (_BITS * ORDER_LIMIT)) | contexts, return_inverse=True)
+        pairs = (row << _BITS) | symbols
+        by = np.argsort(pairs)
+        row, pairs, counts = row[by], pairs[by], counts[by].astype(np.float64)
+        n = len(nodes)
+        if not n:
+            empty = np.zeros(0)
+            return Contexts(order, nodes, pairs, counts, row, empty, empty, empty, empty, -math.log10(EDGE + 1))
+        total, distinct = np.bincount(row, counts, n), np.bincount(row, minlength=n)
+        length = nodes >> (_BITS * ORDER_LIMIT)
+        shorter = np.maximum(length - 1, 0)
+        up = np.searchsorted(nodes, (shorter << (_BITS * ORDER_LIMIT)) | (nodes & ((np.int64(1) << (_BITS * shorter)) - 1)))
+        above = counts[np.searchsorted(pairs, (up[row] << _BITS) | (pairs & ((1 << _BITS) - 1)))]
+        rest = total[up] - np.bincount(row, above, n)
+        more = distinct[up] - distinct
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left = np.log10(rest + more)
+            escape = np.where(more > 0, np.log10(more) - left, 0.0)
+        whole = np.log10(total + distinct)
+        last = -math.log10(max(EDGE + 1 - int(distinct[0]), 1))
+        return Contexts(order, nodes, pairs, np.log10(counts), up, whole, np.log10(distinct) - whole, left, escape, last)
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of the last symbol of every gram."""
+        if not len(self.nodes):
+            return np.full(len(grams), self.last)
+        symbols, contexts = grams & ((1 << _BITS) - 1), grams >> _BITS
+        at = np.zeros(len(grams), np.int64)  # the empty context comes first
+        open_ = np.arange(len(grams))
+        for k in range(self.order, 0, -1):
+            keys = (k << (_BITS * ORDER_LIMIT)) | (contexts[open_] & ((1 << (_BITS * k)) - 1))
+            found, known = _search(self.nodes, keys)
+            at[open_[known]] = found[known]
+            open_ = open_[~known]
+        out = np.zeros(len(grams))
+        open_, below = np.arange(len(grams)), self.whole[at]
+        leave = self.first[at]
+        while len(open_):
+            found, known = _search(self.pairs, (at[open_] << _BITS) | symbols[open_])
+            out[open_[known]] += self.counts[found[known]] - below[known]
+            open_, leave = open_[~known], leave[~known]
+            out[open_] += leave
+            out[open_[at[open_] == 0]] += self.last
+            open_ = open_[at[open_] > 0]
+            below, leave = self.left[at[open_]], self.escape[at[open_]]
+            at[open_] = self.up[at[open_]]
+        return out
+
+    def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """log10 probability of every text of a block."""
+        different, place = np.unique(grams(*_symbols(data, bounds, self.order), self.order), return_inverse=True)
+        sums = np.concatenate(([0.0], np.cumsum(self.costs(different)[place])))
+        ends = np.cumsum(np.diff(bounds) + 1)
+        return sums[ends] - sums[np.concatenate(([0], ends[:-1]))] if len(ends) else np.zeros(0)
+
+
+def _search(have: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys among sorted ones, and which are there."""
+    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    return at, have[at] == keys
+
+
+def _context_rows(texts: DataFrame, order: int) -> DataFrame:
+    """Staged ``length, context, symbol, n`` of all contexts of all training texts."""
     grams = _gram_counts(texts, order)
     shift = F.shiftright("gram", _BITS)
     suffixes = F.array(*[
         F.struct(F.lit(k).alias("length"), shift.bitwiseAND(F.lit((1 << (_BITS * k)) - 1)).alias("context")) for k in range(order + 1)
     ])
-    rows = stage(
+    return stage(
         grams.select(F.explode(suffixes).alias("c"), F.col("gram").bitwiseAND(F.lit((1 << _BITS) - 1)).alias("symbol"), "n")
         .groupBy("c.length", "c.context", "symbol").agg(F.sum("n").alias("n")),
         "contexts",
     )
+
+
+_NARROW = ["context", "cast(length as byte) length", "cast(symbol as short) symbol", "cast(n as double) n"]
+
+
+def contexts(texts: DataFrame, order: int = ORDER) -> Contexts:
+    """The model of all rows of ``texts`` (a column ``text``), whatever their number of contexts."""
+    found = _context_rows(texts, order).selectExpr(*_NARROW).toArrow()
+    return Contexts.of(*(c.to_numpy() for c in found.columns), order)
+
+
+def train(texts: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> Trie:
+    """A trie of the most frequent contexts of all rows of ``texts`` (a column ``text``)."""
+    rows = _context_rows(texts, order)
     totals = rows.groupBy("length", "context").agg(F.sum("n").alias("total"))
     least = _least_of_most(totals, "total", max_contexts)
     kept = F.broadcast(totals.filter(F.col("total") >= least))  # at most max_contexts rows
-    small = [F.col("context"), F.col("length").cast("byte"), F.col("symbol").cast("short"), F.col("n").cast("double")]
-    found = rows.join(kept, ["length", "context"]).select(*small).toArrow()  # at most 257 rows per context kept
+    found = rows.join(kept, ["length", "context"]).selectExpr(*_NARROW).toArrow()  # at most 257 rows per context kept
     return build(*(c.to_numpy() for c in found.columns), order)
 
 
@@ -241,7 +343,7 @@ def score(documents: DataFrame, training: DataFrame, doc_id: str = "doc_id", tex
     columns are not read.
     """
     spark = documents.sparkSession
-    trie = train(training)
+    everything = contexts(training)
     words = _word_counts(training)
     n_texts = training.count()
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -249,7 +351,7 @@ def score(documents: DataFrame, training: DataFrame, doc_id: str = "doc_id", tex
     below = n_all + 0.1 * (distinct + (n_texts > 0) + 1)
     short = words.filter(F.octet_length("word") <= HOT_BYTES)
     hot = short.filter(F.col("n") >= _least_of_most(short, "n", HOT)).toPandas()
-    sent = spark.sparkContext.broadcast((trie, {bytes(w): math.log10((n + 0.1) / below) for w, n in zip(hot["word"], hot["n"], strict=True)}))
+    sent = spark.sparkContext.broadcast((everything, {bytes(w): math.log10((n + 0.1) / below) for w, n in zip(hot["word"], hot["n"], strict=True)}))
     end = math.log10((n_texts + 0.1) / below)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

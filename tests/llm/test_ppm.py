@@ -118,3 +118,16 @@ def test_nulls_ties_and_empty_tables(spark):
     assert {r.n_known for r in op.score(docs, none).collect()} == {0}
     assert op.score(docs.limit(0), none).count() == 0
     assert op.score(docs, none).filter("doc_id = 2").first().score == pytest.approx(-math.log10(257))
+
+
+@pytest.mark.parametrize("order", [0, 1, 5])
+def test_scores_with_all_contexts_against_plain_ppm(spark, order):
+    model = op.contexts(spark.createDataFrame([(t,) for t in TRAIN], "text string").repartition(3), order)
+    assert np.allclose(model.scores(*utf8_column(pa.array(TEXTS))), plain_ppm(TRAIN, TEXTS, order), rtol=1e-9)
+
+
+def test_rare_contexts_count(spark, monkeypatch):
+    monkeypatch.setattr(op.train, "__defaults__", (op.ORDER, 12))  # a small model elsewhere does not change scores
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in op.score(docs, spark.createDataFrame([(t,) for t in TRAIN], "text string")).collect()}
+    assert np.allclose([got[i] for i in range(len(TEXTS))], plain_ppm(TRAIN, TEXTS, op.ORDER), rtol=1e-9)
