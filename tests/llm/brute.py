@@ -120,3 +120,14 @@ def without_repeats(docs, length=100):
         kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
         out.append((doc, len(data), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(kept)))
     return out
+
+
+def one_of_similar(rows, size=5, least=0.8):
+    """Least ids of the groups of (id, text) rows that a Jaccard similarity of word shingles joins."""
+    def shingles(text):
+        words = ascii_lower(text).split()
+        return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+    sets = [shingles(t) for _, t in rows]
+    groups = components([i for i, _ in rows], lambda i, j: len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]))
+    return {i for (i, _), g in zip(rows, groups, strict=True) if i == g}

@@ -7,21 +7,6 @@ import pyarrow.parquet as pq
 from tallyfold.llm import similar as op
 
 
-def shingles(text, size=5):
-    words = brute.ascii_lower(text or "").split()
-    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
-
-
-def similar(a, b):
-    return len(a & b) >= 0.8 * len(a | b)
-
-
-def kept(rows):
-    sets = [shingles(t) for _, t in rows]
-    groups = brute.components([i for i, _ in rows], lambda i, j: similar(sets[i], sets[j]))
-    return {i for (i, _), g in zip(rows, groups, strict=True) if i == g}
-
-
 def test_changed_words_against_brute_force(spark):
     pick = random.Random(3)
     say = lambda n: [f"w{pick.randrange(500)}" for _ in range(n)]
@@ -38,14 +23,14 @@ def test_changed_words_against_brute_force(spark):
     pick.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id for r in pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()}
-    want = kept(sorted(rows))
+    want = brute.one_of_similar(sorted(rows))
     assert got == want and 10 < len(want) < len(rows)
 
 
 def test_table_against_brute_force(spark, sf_dir):
     rows = [(d["doc_id"], d["text"]) for d in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()]
     got = {r.doc_id for r in op.keep_one(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
-    assert got == kept(rows)
+    assert got == brute.one_of_similar(rows)
 
 
 def test_nulls_copies_and_columns(spark):
