@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, language_id, mixture, pii, ppm, preferences, quality, simhash, suffix_dedup
+from . import (
+    decontaminate,
+    html_text,
+    language_id,
+    mixture,
+    pii,
+    ppm,
+    preferences,
+    quality,
+    resample,
+    sharding,
+    simhash,
+    suffix_dedup,
+    whitening,
+)
 from .common import table
 
 
@@ -50,6 +64,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest_rows(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest_rows(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.digest_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture": op1_mixture,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -61,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preferences": op8_preferences,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "op11_sharding": op11_sharding,
+    "op12_whitening": op12_whitening,
+    "op13_resample": op13_resample,
 }
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -50,7 +50,7 @@ def test_stages_against_plain_versions(spark, sf_dir, tmp_path):
 
 def test_registered(spark, sf_dir):
     assert queries()["pipeline"] is pipeline.run and "pipeline" not in oracle_sql()
-    assert {f"op{n}_" for n in range(1, 11)} <= {name[: name.index("_") + 1] for name in queries() if name.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} <= {name[: name.index("_") + 1] for name in queries() if name.startswith("op")}
 
 
 def test_an_empty_table_goes_through(spark, sf_dir):
