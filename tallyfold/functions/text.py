@@ -26,6 +26,18 @@ def tokens(text: Column | str) -> Column:
     return F.split(F.trim(F.lower(words)), " ")
 
 
+def cut_text(text: Column | str, size: int) -> Column:
+    """The text as an array of parts of at most ``size`` characters, cut between words.
+
+    Joined, the parts are the text.  No cut falls between two ASCII letters or digits, so
+    the words of the parts are the words of the text; a longer run of those stays whole.
+    One pass over the text; a shorter text is its only part.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    part = f"(?s).{{1,{size}}}(?:(?<![0-9a-zA-Z])|(?![0-9a-zA-Z]))|[0-9a-zA-Z]++"
+    return F.when(F.char_length(text) > size, F.regexp_extract_all(text, F.lit(part), F.lit(0))).when(text.isNotNull(), F.array(text))
+
+
 def flatten_lines(text: Column | str) -> Column:
     """One line per text: newlines become `` --- `` and bad UTF-8 becomes U+FFFD."""
     text = F.col(text) if isinstance(text, str) else text

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fields import number
+from .records import read_quoted_records
 
 # A field of a line with a comma put before it: a comma, then what is no comma, quoted
 # stretches whole.  Possessive repeats: one pass over the line.
@@ -29,7 +30,7 @@ def _quoted_fields(line: Column) -> Column:
 MISSING = "\ue000"  # what the CSV reader reports for a field that is not there
 
 
-def _schema(schema: T.StructType | str) -> T.StructType:
+def schema_of(schema: T.StructType | str) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
@@ -55,28 +56,46 @@ def _split_lines(
 
 
 def _csv_fields(
-    spark: SparkSession, path: str | list[str], names: list[str], sep: str, header: bool, quoted: bool, multiline: bool
+    spark: SparkSession, path: str | list[str], names: list[str], sep: str, header: bool, quoted: bool, multiline: bool,
+    piece_bytes: int | None = None,
 ) -> DataFrame:
-    """Raw text fields by Spark's CSV reader; an empty field is missing, but quotes around nothing are an empty string."""
+    """Raw text fields by Spark's CSV parser; an empty field is missing, but quotes around nothing are an empty string.
+
+    With ``piece_bytes`` records with newlines in them are found by many tasks a file, and
+    the parser gets one record at a time.
+    """
     text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    fields = spark.read.csv(
-        path,
-        schema=text_schema,
-        sep=sep,
-        header=header,
-        quote='"' if quoted else "",
-        escape='"' if quoted else "\\",
-        enforceSchema=True,
-        mode="PERMISSIVE",
-        multiLine=multiline,
-        lineSep="\n",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
+    options = {
+        "sep": sep,
+        "quote": '"' if quoted else "",
+        "escape": '"' if quoted else "\\",
+        "mode": "PERMISSIVE",
+        "multiLine": str(multiline).lower(),
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
         **({"nullValue": MISSING, "emptyValue": ""} if quoted else {}),
-    )
+    }
+    if piece_bytes is not None:
+        records = read_quoted_records(spark, path, piece_bytes).where("record <> ''")
+        if header:
+            records = records.where("start > 0")
+        parsed = F.explode(F.array(F.from_csv("record", text_schema.simpleString()[7:-1].replace(":string", " STRING"), options)))
+        fields = records.select(parsed.alias("_fields")).select("_fields.*")
+    else:
+        fields = spark.read.csv(path, schema=text_schema, header=header, enforceSchema=True, lineSep="\n", **options)
     return fields.select(F.concat_ws(sep, *names).alias("_line"), *names)
 
 
+def raw_fields(
+    spark: SparkSession, path: str | list[str], names: list[str], sep: str, header: bool, marker: str | None, quoted: bool,
+    multiline: bool = False, piece_bytes: int | None = None,
+) -> DataFrame:
+    """``_line`` and the fields as text, by position; a field that is not there is NULL."""
+    if marker is not None:
+        return _split_lines(spark, path, names, sep, marker, quoted)
+    return _csv_fields(spark, path, names, sep, header, quoted, multiline, piece_bytes)
+
+
 def _typed(raw: Column, line: Column, field: T.StructField, rule: str, complete: Column, strict: bool) -> Column:
     value = raw if isinstance(field.dataType, T.StringType) else number(raw, field.dataType, strict)
     if rule == "skip":
@@ -100,6 +119,7 @@ def read_delimited(
     fail_on: Sequence[str] = (),
     strict: bool = False,
     multiline: bool = False,
+    piece_bytes: int | None = None,
 ) -> DataFrame:
     """The ``used`` columns (default: all) of every file under a path.
 
@@ -115,30 +135,33 @@ def read_delimited(
 
     ``quoted`` lets a comma stand inside double quotes.  The quotes are stripped,
     but with ``marker`` they stay in the field.  ``multiline`` lets a quoted value
-    hold newlines as well (not with ``marker``); a file is then read by one task.
+    hold newlines as well (not with ``marker``).  A file is then read by one task, or with
+    ``piece_bytes`` by a task for every piece of that size; for this a field with a quote
+    in it must be quoted and the quote doubled, as all CSV writers do.
     """
     if on_bad not in ("skip", "fail"):
         raise ValueError(f"on_bad must be skip or fail, not {on_bad!r}")
-    schema = _schema(schema)
+    if piece_bytes is not None and (marker is not None or not (quoted and multiline)):
+        raise ValueError("piece_bytes is for quoted text with newlines; all other text is split anyway")
+    schema = schema_of(schema)
     names = schema.names
     used = list(used) if used is not None else names
-    if marker is None:
-        raw = _csv_fields(spark, path, names, sep, header, quoted, multiline)
-    else:
-        raw = _split_lines(spark, path, names, sep, marker, quoted)
+    raw = raw_fields(spark, path, names, sep, header, marker, quoted, multiline, piece_bytes)
     rules = {n: "fail" if on_bad == "fail" else "parse" if n in fail_on else "skip" for n in used}
     complete = reduce(and_, [F.col(n).isNotNull() for n in used])
     typed = raw.select(*[_typed(F.col(n), F.col("_line"), schema[n], rules[n], complete, strict) for n in used])
     return typed if on_bad == "fail" else typed.dropna()
 
 
-def read_pairs(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+def read_pairs(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str, piece_bytes: int | None = None
+) -> DataFrame:
     """What ``write_pairs(fmt="tsv")`` wrote, as it was: tabs, quotes, newlines, blanks, empty strings and NULL.
 
     A value that does not parse is an error.  A file is read by one task, because a
-    value may hold newlines; part files are the size of the tasks that wrote them.
+    value may hold newlines, or with ``piece_bytes`` by a task for every piece.
     """
-    schema = _schema(schema)
-    raw = _csv_fields(spark, path, schema.names, "\t", header=False, quoted=True, multiline=True)
+    schema = schema_of(schema)
+    raw = _csv_fields(spark, path, schema.names, "\t", header=False, quoted=True, multiline=True, piece_bytes=piece_bytes)
     typed = [_typed(F.col(f.name), F.col("_line"), f, "parse", F.col(f.name).isNotNull(), False) for f in schema.fields]
     return raw.select(*typed)

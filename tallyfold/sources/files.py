@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pieces import PIECE_BYTES, file_pieces
+
 
 def _base_name(uri: Column) -> Column:
     """The name at the end of a file's address, with percent-encoded characters as they are."""
@@ -19,22 +21,11 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per file: (file_name, content), with exactly the file's content.
 
-    An empty file is a row with empty content.  Spark plans no task for such a file,
-    so these come from its listing, less the files that have content (found without
-    reading any).
-
-    Bytes that are not UTF-8 become U+FFFD.  Files are never split, small ones
-    share a task, and a file must fit in one cell (2 GiB); use :func:`read_lines`
-    for files that may be larger.
+    An empty file is a row with empty content.  Bytes that are not UTF-8 become U+FFFD.
+    Files are never split, small ones share a task, and a file must fit in one cell
+    (2 GiB); use :func:`read_file_pieces` or :func:`read_lines` for files that may be larger.
     """
-    files = spark.read.text(path, wholetext=True)
-    whole = files.select(
-        _base_name(F.col("_metadata.file_path")).alias("file_name"),
-        F.make_valid_utf8("value").alias("content"),
+    return file_pieces(spark, path, PIECE_BYTES, "never").select(
+        F.regexp_extract("path", "[^/]*$", 0).alias("file_name"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
-    filled = spark.read.format("binaryFile").load(path)
-    # file:/a and file:///a are one address
-    plain = lambda uri: F.regexp_replace(uri, "^([^:/]+):///", "$1:/")
-    listed = spark.createDataFrame([(uri,) for uri in filled.inputFiles()], "uri STRING").select(plain("uri").alias("uri"))
-    empty = listed.join(filled.select(plain(F.col("_metadata.file_path")).alias("uri")), "uri", "left_anti")
-    return whole.unionByName(empty.select(_base_name(F.col("uri")).alias("file_name"), F.lit("").alias("content")))
