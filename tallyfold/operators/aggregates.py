@@ -12,6 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exact import exact_sums_by
+
+EXACT = "exact"  # instead of a scale: sums of doubles rounded once, equal on every run
+
 
 def _keys(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -55,9 +59,15 @@ def divide(numerator: Column, divisor: Column, on_zero: str = "null") -> Column:
 
 
 def mean_by(
-    df: DataFrame, keys: str | Sequence[str], value: str, name: str = "mean", scale: int | None = None
+    df: DataFrame, keys: str | Sequence[str], value: str, name: str = "mean", scale: int | str | None = None
 ) -> DataFrame:
-    """True mean per key, whatever the number of partitions."""
+    """True mean per key, whatever the number of partitions.
+
+    ``scale`` here and below: places of a decimal sum, or ``"exact"`` for the exact sum of
+    doubles as they are (see :func:`exact_sums_by`).
+    """
+    if scale == EXACT:
+        return exact_sums_by(df, keys, value, "_total", mean_name=name).drop("_total")
     mean = F.avg(value) if scale is None else F.try_divide(total(value, scale), F.count(value).cast("double"))
     return df.groupBy(*_keys(keys)).agg(mean.alias(name))
 
@@ -68,9 +78,11 @@ def count_sum_by(
     value: str,
     count_name: str = "n",
     sum_name: str = "total",
-    scale: int | None = None,
+    scale: int | str | None = None,
 ) -> DataFrame:
     """Row count and sum per key in one pass.  Integer sums stay 64-bit integers."""
+    if scale == EXACT:
+        return exact_sums_by(df, keys, value, sum_name, rows_name=count_name).select(*_keys(keys), count_name, sum_name)
     summed = F.sum(value) if scale is None else total(value, scale)
     return df.groupBy(*_keys(keys)).agg(F.count(F.lit(1)).alias(count_name), summed.alias(sum_name))
 
@@ -106,7 +118,7 @@ def signed_ratio_by(
     value: str,
     name: str = "ratio",
     on_zero: str = "null",
-    scale: int | None = None,
+    scale: int | str | None = None,
 ) -> DataFrame:
     """Per key, the positive value over minus the sum of the negative values.
 
@@ -114,8 +126,13 @@ def signed_ratio_by(
     key with none has 0.0.
     """
     v = F.col(value)
-    summary = df.groupBy(*_keys(keys)).agg(
-        F.coalesce(F.max(F.when(v >= 0, v)).cast("double"), F.lit(0.0)).alias("_pos"),
-        F.coalesce(total(F.when(v < 0, v), scale), F.lit(0.0)).alias("_neg"),
-    )
+    if scale == EXACT:
+        negative = df.select(*_keys(keys), v, F.when(v < 0, v).alias("_negative"))
+        summary = exact_sums_by(negative, keys, "_negative", "_neg", maxima={"_pos": F.when(v >= 0, v).cast("double")})
+        summary = summary.fillna(0.0, ["_pos", "_neg"])
+    else:
+        summary = df.groupBy(*_keys(keys)).agg(
+            F.coalesce(F.max(F.when(v >= 0, v)).cast("double"), F.lit(0.0)).alias("_pos"),
+            F.coalesce(total(F.when(v < 0, v), scale), F.lit(0.0)).alias("_neg"),
+        )
     return summary.select(*_keys(keys), divide(F.col("_pos"), -F.col("_neg"), on_zero).alias(name))

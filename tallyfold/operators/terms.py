@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import cut_text, tokens
 
 # Names that the steps below use themselves; a document column is renamed on entry.
 _DOC = "_document"
@@ -27,6 +27,21 @@ _DOC = "_document"
 NORMS = {"distinct": "_terms", "total": "_tokens"}
 
 
+def cut_rows(df: DataFrame, text: str, size: int = 1 << 20, tasks: int | None = None) -> DataFrame:
+    """The rows with their texts cut between words into parts of at most ``size`` characters, a row each.
+
+    For texts of any length: what comes after holds the words of one part at a time, and
+    with ``tasks`` the parts of one row are dealt out over that many tasks.  Words are the
+    same as before, so everything here that takes many rows per document can follow, but
+    for rows without a word, which are not told apart any more.  Rows with a NULL text go.
+    """
+    others = [c for c in df.columns if c != text]
+    parts = df.select(*others, F.posexplode(cut_text(text, size)).alias("_part", text))
+    if tasks is not None:
+        parts = parts.repartition(tasks, *[c for c in others if "map<" not in df.schema[c].dataType.simpleString()], "_part")
+    return parts.select(*df.columns)
+
+
 def _counts_within_rows(df: DataFrame, doc: str, text: str, total: str | None = None) -> DataFrame:
     """(doc, word, n) of one-row documents and the wanted total, without a shuffle.
 

@@ -56,7 +56,7 @@ def _finish(result: DataFrame, out: str | None, line: Column, order: list[str |
 
 
 def avg_price(spark: SparkSession, path: str, out: str | None = None, marker: str | None = "Address",
-              scale: int | None = None) -> DataFrame:
+              scale: int | str | None = None) -> DataFrame:
     """Mean house price per zip code: (zipcode, avg_price)."""
     houses = read_delimited(spark, path, HOUSES, used=["zipcode", "price"], marker=marker)
     result = mean_by(houses, "zipcode", "price", "avg_price", scale=scale)
@@ -126,7 +126,7 @@ def patient_filter(spark: SparkSession, path: str, out: str | None = None,
 
 
 def score_comp(spark: SparkSession, path: str, out: str | None = None, marker: str | None = "Num",
-               on_zero: str = "null", scale: int | None = None) -> DataFrame:
+               on_zero: str = "null", scale: int | str | None = None) -> DataFrame:
     """Per character, the positive number over minus the sum of the negative ones: (character, score)."""
     rows = read_delimited(spark, path, SCORES, sep=" ", marker=marker)
     result = signed_ratio_by(rows, "character", "num", "score", on_zero=on_zero, scale=scale)
