@@ -93,6 +93,12 @@ ORACLE: dict[str, str] = {
         ORDER BY o_totalprice DESC, o_orderkey LIMIT 1""",
     "max_per_group": "SELECT p_brand, max(p_size) AS max_size FROM part GROUP BY p_brand",
     "signed_ratio": _SCORE.format(key="c_mktsegment", name="c_mktsegment"),
+    "exact_sums": """
+        SELECT l_suppkey, CAST(CAST(sum(v) AS BIGINT) AS DOUBLE) AS total, count(*) AS n,
+               CAST(CAST(sum(v) AS BIGINT) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mean
+        FROM (SELECT l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) * (CAST(1 AS BIGINT) << CAST(4 * (l_linenumber - 1) AS BIGINT))
+                       * CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE -1 END AS v FROM lineitem)
+        GROUP BY l_suppkey""",
     "min_max_normalize": """
         WITH bounds AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)
         SELECT c_custkey, (c_acctbal - lo) / (hi - lo) AS normalized FROM customer, bounds""",
@@ -110,6 +116,7 @@ ORACLE: dict[str, str] = {
         WHERE nullif(o_orderstatus, 'O') IS DISTINCT FROM 'P' OR nullif(o_orderpriority, '2-HIGH') IS NOT DISTINCT FROM '1-URGENT'""",
     "symmetric_difference": _ONE_SIDED_ORDERS.format(shown="k AS orderkey"),
     "tagged_symmetric_difference": _ONE_SIDED_ORDERS.format(shown="'O' || k AS id"),
+    "stored_difference": _ONE_SIDED_ORDERS.format(shown="k AS orderkey"),
     "flatten_text": "SELECT doc_id, replace(text, chr(10), ' --- ') AS content FROM documents",
     "word_counts": _WORDS + "SELECT word, n FROM words",
     "doc_word_counts": _counts() + "SELECT doc AS doc_id, word, n FROM counts",
@@ -119,6 +126,11 @@ ORACLE: dict[str, str] = {
     "max_tf_total": _max_tf("doc_id", "tf_total"),
     "max_tf_many_rows": _max_tf("source"),
     "top_words": _WORDS + "SELECT word, n FROM words ORDER BY n DESC, word LIMIT 10",
+    "top_words_sketched": _WORDS + "SELECT word, n FROM words ORDER BY n DESC, word LIMIT 10",
+    "word_counts_cut": _WORDS + "SELECT word, n FROM words",
+    "max_tf_cut": _max_tf("source"),
+    "staged_max_tf": _max_tf("source"),
+    "max_tf_file_pieces": _max_tf("lang"),
     "top_distinct_counts": _WORDS + """
         SELECT n, max(word) AS word FROM words GROUP BY n ORDER BY n DESC LIMIT 500""",
     "unpack_composite": """
@@ -134,12 +146,34 @@ ORACLE: dict[str, str] = {
     "line_scan_with_file_name": """
         SELECT s_suppkey || chr(9) || s_name AS value, true AS named_after_file FROM supplier""",
     "whole_file_scan": "SELECT c_custkey || chr(9) || c_name AS line FROM customer",
-    "named_folders_whole": "SELECT n_name AS line, true AS named, count(*) AS n FROM nation GROUP BY n_name",
+    "named_folders_whole": "SELECT c_mktsegment AS line, true AS named, count(*) AS n FROM customer GROUP BY c_mktsegment",
+    "quoted_records_split": _HARD_TEXTS + " WHERE doc_id % 7 <> 2",
+    "pairs_records_split": _HARD_TEXTS,
+    "file_pieces_joined": "SELECT doc_id || chr(9) || lang || chr(9) || replace(text, chr(10), ' ') AS line FROM documents",
+    "rows_set_aside": """
+        SELECT CASE o_orderstatus WHEN 'F' THEN 'bad o_totalprice' WHEN 'P' THEN 'missing o_totalprice' ELSE 'good' END AS reason,
+               count(*) AS n, count(*) AS counted,
+               CAST(sum(CASE WHEN o_orderstatus NOT IN ('F', 'P') THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS price
+        FROM orders GROUP BY 1""",
+    "overwrite_after_failure": "SELECT c_name AS value FROM customer",
+    "key_range_read": """
+        SELECT o_custkey, o_orderkey, true AS pruned FROM orders
+        WHERE o_custkey BETWEEN (SELECT max(o_custkey) // 4 FROM orders) AND (SELECT max(o_custkey) // 2 FROM orders)""",
     "texts_roundtrip_tsv": _HARD_TEXTS,
     "texts_roundtrip_csv": _HARD_TEXTS + " WHERE doc_id % 7 <> 2",
     "strict_clean_scan": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
-    "key_order_over_files": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS overlaps FROM orders",
+    "key_order_over_files": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS overlaps, true AS several_files FROM orders",
     "written_twice": "SELECT s_name AS value FROM supplier",
+    "lines_avg_price": f"""
+        SELECT lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS zipcode,
+               {_MONEY_SUM.format('c_acctbal')} / CAST(count(*) AS DOUBLE) AS avg_price
+        FROM customer GROUP BY 1""",
+    "lines_norm_grades": """
+        WITH bounds AS (SELECT CAST(min(p_size) AS DOUBLE) AS lo, CAST(max(p_size) AS DOUBLE) AS hi FROM part)
+        SELECT 'P' || p_partkey AS name, (p_size - lo) / (hi - lo) AS normalized FROM part, bounds""",
+    "lines_score_comp": _SCORE.format(key="'N' || c_nationkey", name='"character"'),
+    "lines_max_tf_words": "SELECT word || chr(9) || docs || ', ' || lang AS line FROM (" + _max_tf("lang") + ")",
+    "lines_read_folder_files": "SELECT c_custkey || chr(9) || c_name AS line, true AS in_order FROM customer",
     "lines_bank_transfers": """
         SELECT 'B' || o_custkey || chr(9) || count(*) || ' ' || CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS line
         FROM orders GROUP BY o_custkey""",
