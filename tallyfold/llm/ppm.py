@@ -1,6 +1,6 @@
 """Language-model scores by prediction by partial matching (PPM, method C).
 
-The model is a trie of byte contexts of up to ``ORDER`` symbols, trained on all training
+The model counts what follows byte contexts of up to ``ORDER`` symbols in all training
 texts.  A symbol seen in the longest known context costs its share of that context's
 count; otherwise an escape is paid (distinct symbols over count plus distinct symbols)
 and the next shorter context is asked, without the symbols that the longer one has
@@ -8,17 +8,18 @@ already excluded, down to a uniform choice.  The code length of a text is the su
 its bytes and an end symbol.
 
 Training counts (ORDER + 1)-grams in tasks and sums them by shuffle; counts of shorter
-contexts are sums of longer ones.  Texts are scored with all contexts, kept as sorted
-keys of what was seen: some tens of bytes for a symbol after a context, which the driver
-gathers and every task receives.  The different grams of a block of texts are looked up
-together, from the longest context they have down to the one that knows the symbol.
-
-``train`` makes a smaller model, a trie of the ``max_contexts`` most frequent contexts (a
-prefix or suffix of a context is at least as frequent, so the trie is closed) in which
-the chain of escapes and exclusions is worked out for every context and symbol.
-
-Beside it stands the base score of whole words, whose counts are complete: the ``HOT``
-most frequent words are looked up in tasks, all others are joined by shuffle.
+contexts are sums of longer ones.  The trie of contexts is a table, a row per context with
+its symbols, keyed by length and context: it is never in one place, and what grows with the
+corpus stays distributed.
+
+Texts are scored in two ways that give the same costs.  The ``HOT`` most frequent grams,
+a table of fixed size, are looked up where the texts are read.  All others are counted per
+text and priced once for each different gram: they are joined with the contexts by their
+suffixes, from the longest down, and a gram leaves as soon as a context knows its symbol.
+Almost all do so at the first one, as training has seen them.
+
+Beside it stands the base score of whole words, whose counts are complete as well: the
+most frequent ones are looked up in tasks, all others are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -27,16 +28,17 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, crc_mod, stage
 
 ORDER = 5
-MAX_CONTEXTS = 50_000
+HOT_GRAMS = 1 << 20  # 16 bytes each
 HOT = 100_000
 HOT_BYTES = 64  # longest word that is looked up in tasks
 FLUSH = 200_000
@@ -123,82 +125,6 @@ def _word_counts(texts: DataFrame) -> DataFrame:
 # --- model --------------------------------------------------------------------------
 
 
-@dataclass
-class Trie:
-    """Contexts as rows: ``child[context, symbol]`` is the context one symbol longer (or none, the
-    last row), ``cost[context, symbol]`` the log10 probability of the symbol after it, escapes and all.
-
-    ``dense`` maps the 257 symbols to columns; what training never saw shares the last one.
-    """
-
-    order: int
-    dense: np.ndarray
-    child: np.ndarray
-    cost: np.ndarray
-
-    def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 probability of every text of a block."""
-        symbols, ends = _symbols(data, bounds, self.order)
-        column = self.dense[symbols]
-        width, none = self.cost.shape[1], len(self.child) - 1
-        best = level = np.zeros(len(symbols), np.int64)
-        for k in range(1, self.order + 1):
-            level = np.concatenate(([none], self.child.reshape(-1)[level[:-1] * width + column[:-1]]))
-            level[:k] = none
-            best = np.where(level == none, best, level)
-        sums = np.concatenate(([0.0], np.cumsum(self.cost.reshape(-1)[best * width + column], dtype=np.float64)))
-        starts = np.concatenate(([0], ends[:-1])) + self.order
-        return sums[ends] - sums[starts]
-
-
-def build(contexts: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, counts: np.ndarray, order: int) -> Trie:
-    """The trie of rows (context, its length, next symbol, count); a context must come with its prefixes and suffixes."""
-    key = (lengths.astype(np.int64) << (_BITS * ORDER_LIMIT)) | contexts
-    nodes, row = np.unique(key, return_inverse=True)
-    length = nodes >> (_BITS * ORDER_LIMIT)
-    context = nodes & ((1 << (_BITS * ORDER_LIMIT)) - 1)
-    known = np.unique(np.append(symbols, EDGE))
-    width = len(known) + 1
-    dense = np.full(EDGE + 1, width - 1)
-    dense[known] = np.arange(len(known))
-    if not len(nodes):  # nothing was learned: all 257 symbols are alike
-        return Trie(order, dense, np.ones((2, width), np.int32), np.full((2, width), -math.log10(EDGE + 1), np.float32))
-    seen_counts = np.zeros((len(nodes), width), np.float32)
-    np.add.at(seen_counts, (row, dense[symbols]), counts)
-    seen = seen_counts > 0
-    total, distinct = seen_counts.sum(1, dtype=np.float64), seen.sum(1)
-
-    def place(lengths: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        return np.searchsorted(nodes, (lengths << (_BITS * ORDER_LIMIT)) | contexts)
-
-    child = np.full((len(nodes) + 1, width), len(nodes), np.int32)
-    longer = np.flatnonzero(length > 0)
-    prefix = place(length[longer] - 1, context[longer] >> _BITS)
-    child[prefix, dense[context[longer] & ((1 << _BITS) - 1)]] = longer
-    # after[v]: log10 probability of a symbol that v has not seen, once v was escaped from
-    after = np.zeros((len(nodes) + 1, width), np.float32)
-    cost = np.zeros((len(nodes) + 1, width), np.float32)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for k in range(order + 1):
-            for at in np.array_split(np.flatnonzero(length == k), max(1, int((length == k).sum()) // 1000)):
-                if not len(at):
-                    continue
-                if k == 0:
-                    after[at] = -math.log10(max(EDGE + 1 - int(distinct[at[0]]), 1))
-                else:
-                    up = place(length[at] - 1, context[at] & ((1 << (_BITS * (k - 1))) - 1))
-                    n = total[up] - (seen_counts[up] * seen[at]).sum(1, dtype=np.float64)
-                    d = distinct[up] - distinct[at]
-                    escape = np.where(d > 0, np.log10(d / (n + d)), 0.0)[:, None] + after[up]
-                    after[at] = np.where(seen[up], np.log10(seen_counts[up] / (n + d)[:, None]), escape)
-                whole = (total[at] + distinct[at])[:, None]
-                cost[at] = np.where(seen[at], np.log10(seen_counts[at] / whole), np.log10(distinct[at][:, None] / whole) + after[at])
-    return Trie(order, dense, child, cost)
-
-
-ORDER_LIMIT = 6  # symbols of nine bits that a packed context can hold beside its length
-
-
 def _least_of_most(counted: DataFrame, column: str, most: int) -> int:
     """The least count above which there are at most ``most`` rows.
 
@@ -212,129 +138,96 @@ def _least_of_most(counted: DataFrame, column: str, most: int) -> int:
     return int(above[column].min()) if len(above) else int(rows[column].max()) + 1
 
 
-@dataclass
-class Contexts:
-    """All contexts of training as sorted keys (length, context), and the symbols seen after each.
-
-    ``pairs`` are sorted keys (row of the context, symbol).  ``up`` is the row of the
-    context one symbol shorter, and ``left`` the log10 of what counts there once the
-    symbols of the longer one are excluded; ``first`` and ``escape`` are the log10 costs
-    of leaving a context that comes first, or one level above it, for the shorter one.
-    """
+def _context_rows(grams: DataFrame, order: int) -> DataFrame:
+    """``length, context, symbol, n`` of all contexts."""
+    shift = F.shiftright("gram", _BITS)
+    suffixes = F.array(*[
+        F.struct(F.lit(k).alias("length"), shift.bitwiseAND(F.lit((1 << (_BITS * k)) - 1)).alias("context")) for k in range(order + 1)
+    ])
+    rows = grams.select(F.explode(suffixes).alias("c"), F.col("gram").bitwiseAND(F.lit((1 << _BITS) - 1)).alias("symbol"), "n")
+    return rows.groupBy("c.length", "c.context", "symbol").agg(F.sum("n").alias("n"))
 
-    order: int
-    nodes: np.ndarray
-    pairs: np.ndarray
-    counts: np.ndarray
-    up: np.ndarray
-    whole: np.ndarray
-    first: np.ndarray
-    left: np.ndarray
-    escape: np.ndarray
-    last: float
 
-    @staticmethod
-    def of(contexts: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, counts: np.ndarray, order: int) -> Contexts:
-        """From rows (context, its length, next symbol, count); a context must come with its suffixes."""
-        nodes, row = np.unique((lengths.astype(np.int64) << (_BITS * ORDER_LIMIT)) | contexts, return_inverse=True)
-        pairs = (row << _BITS) | symbols
-        by = np.argsort(pairs)
-        row, pairs, counts = row[by], pairs[by], counts[by].astype(np.float64)
-        n = len(nodes)
-        if not n:
-            empty = np.zeros(0)
-            return Contexts(order, nodes, pairs, counts, row, empty, empty, empty, empty, -math.log10(EDGE + 1))
-        total, distinct = np.bincount(row, counts, n), np.bincount(row, minlength=n)
-        length = nodes >> (_BITS * ORDER_LIMIT)
-        shorter = np.maximum(length - 1, 0)
-        up = np.searchsorted(nodes, (shorter << (_BITS * ORDER_LIMIT)) | (nodes & ((np.int64(1) << (_BITS * shorter)) - 1)))
-        above = counts[np.searchsorted(pairs, (up[row] << _BITS) | (pairs & ((1 << _BITS) - 1)))]
-        rest = total[up] - np.bincount(row, above, n)
-        more = distinct[up] - distinct
-        with np.errstate(divide="ignore", invalid="ignore"):
-            left = np.log10(rest + more)
-            escape = np.where(more > 0, np.log10(more) - left, 0.0)
-        whole = np.log10(total + distinct)
-        last = -math.log10(max(EDGE + 1 - int(distinct[0]), 1))
-        return Contexts(order, nodes, pairs, np.log10(counts), up, whole, np.log10(distinct) - whole, left, escape, last)
-
-    def costs(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last symbol of every gram."""
-        if not len(self.nodes):
-            return np.full(len(grams), self.last)
-        symbols, contexts = grams & ((1 << _BITS) - 1), grams >> _BITS
-        at = np.zeros(len(grams), np.int64)  # the empty context comes first
-        open_ = np.arange(len(grams))
-        for k in range(self.order, 0, -1):
-            keys = (k << (_BITS * ORDER_LIMIT)) | (contexts[open_] & ((1 << (_BITS * k)) - 1))
-            found, known = _search(self.nodes, keys)
-            at[open_[known]] = found[known]
-            open_ = open_[~known]
-        out = np.zeros(len(grams))
-        open_, below = np.arange(len(grams)), self.whole[at]
-        leave = self.first[at]
-        while len(open_):
-            found, known = _search(self.pairs, (at[open_] << _BITS) | symbols[open_])
-            out[open_[known]] += self.counts[found[known]] - below[known]
-            open_, leave = open_[~known], leave[~known]
-            out[open_] += leave
-            out[open_[at[open_] == 0]] += self.last
-            open_ = open_[at[open_] > 0]
-            below, leave = self.left[at[open_]], self.escape[at[open_]]
-            at[open_] = self.up[at[open_]]
-        return out
-
-    def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 probability of every text of a block."""
-        different, place = np.unique(grams(*_symbols(data, bounds, self.order), self.order), return_inverse=True)
-        sums = np.concatenate(([0.0], np.cumsum(self.costs(different)[place])))
-        ends = np.cumsum(np.diff(bounds) + 1)
-        return sums[ends] - sums[np.concatenate(([0], ends[:-1]))] if len(ends) else np.zeros(0)
+ORDER_LIMIT = 6  # symbols of nine bits that a packed context can hold beside its length
 
 
-def _search(have: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of keys among sorted ones, and which are there."""
-    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-    return at, have[at] == keys
+def _key(length: int | Column, context: Column) -> Column:
+    """A context with its length in one number."""
+    return F.shiftleft((F.lit(length) if isinstance(length, int) else length).cast("long"), _BITS * ORDER_LIMIT).bitwiseOR(context)
 
 
-def _context_rows(texts: DataFrame, order: int) -> DataFrame:
-    """Staged ``length, context, symbol, n`` of all contexts of all training texts."""
-    grams = _gram_counts(texts, order)
-    shift = F.shiftright("gram", _BITS)
-    suffixes = F.array(*[
-        F.struct(F.lit(k).alias("length"), shift.bitwiseAND(F.lit((1 << (_BITS * k)) - 1)).alias("context")) for k in range(order + 1)
-    ])
-    return stage(
-        grams.select(F.explode(suffixes).alias("c"), F.col("gram").bitwiseAND(F.lit((1 << _BITS) - 1)).alias("symbol"), "n")
-        .groupBy("c.length", "c.context", "symbol").agg(F.sum("n").alias("n")),
-        "contexts",
-    )
+@dataclass
+class Model:
+    """The trie as a staged table ``key, total, seen``; ``seen`` are the at most 257 symbols after the context, with counts.
 
+    ``hot`` are ``HOT_GRAMS`` grams at most, sorted, and ``costs`` their log10 probabilities.
+    """
 
-_NARROW = ["context", "cast(length as byte) length", "cast(symbol as short) symbol", "cast(n as double) n"]
+    order: int
+    table: DataFrame
+    hot: np.ndarray
+    costs: np.ndarray
+    last: float  # log10 probability of a symbol that no context has
 
+    @staticmethod
+    def of(texts: DataFrame, order: int = ORDER) -> Model:
+        """From all rows of ``texts`` (a column ``text``)."""
+        grams = _gram_counts(texts, order)
+        rows = _context_rows(grams, order)
+        table = stage(rows.groupBy(_key(F.col("length"), F.col("context")).alias("key")).agg(
+            F.sum("n").alias("total"), F.collect_list(F.struct(F.col("symbol").cast("short").alias("symbol"), "n")).alias("seen")
+        ), "ppm-model")
+        least = _least_of_most(grams, "n", HOT_GRAMS)
+        frequent = grams.filter(F.col("n") >= least).withColumn("key", _key(order, F.shiftright("gram", _BITS)))
+        priced = frequent.join(table.withColumn("distinct", F.size("seen")).drop("seen"), "key")
+        # HOT_GRAMS rows of two numbers
+        hot = priced.select("gram", (F.log10("n") - F.log10(F.col("total") + F.col("distinct"))).alias("cost")).toPandas().sort_values("gram")
+        root = table.filter("key = 0").select(F.size("seen")).first()
+        last = -math.log10(max(EDGE + 1 - (root[0] if root else 0), 1))
+        return Model(order, table, hot["gram"].to_numpy(np.int64), hot["cost"].to_numpy(np.float64), last)
+
+    def priced(self, grams: DataFrame) -> DataFrame:
+        """``gram, cost`` of every row of a table of different grams."""
+        context, symbol = F.shiftright("gram", _BITS), F.col("gram").bitwiseAND(F.lit((1 << _BITS) - 1)).cast("short")
+        none = F.lit(None).cast("array<struct<symbol:smallint,n:bigint>>")
+        left = grams.select("gram", symbol.alias("symbol"), context.alias("context"), F.lit(0.0).alias("paid"), none.alias("longer"))
+        done: list[DataFrame] = []
+        known, hit = F.col("seen").isNotNull(), F.col("count").isNotNull()
+        escape = F.when(known & (F.col("more") > 0), F.log10("more") - F.log10("below")).otherwise(0.0)
+        for k in range(self.order, -1, -1):
+            lowest, highest = k << (_BITS * ORDER_LIMIT), (k + 1) << (_BITS * ORDER_LIMIT)
+            own = self.table.filter((F.col("key") >= lowest) & (F.col("key") < highest))
+            own = F.broadcast(own) if k <= 1 else own  # at most 258 rows of 257 symbols
+            joined = left.withColumn("key", _key(k, F.col("context").bitwiseAND(F.lit((1 << (_BITS * k)) - 1)))).join(own, "key", "left")
+            asked = stage(joined.select("*", *self._step()).drop("key", "total"), "asked")  # fewer with every level
+            done.append(asked.filter(hit).select("gram", (F.col("paid") + F.log10("count") - F.log10("below")).alias("cost")))
+            left = asked.filter(~hit).select(
+                "gram", "symbol", "context", (F.col("paid") + escape).alias("paid"), F.coalesce("seen", "longer").alias("longer")
+            )
+        done.append(left.select("gram", (F.col("paid") + self.last).alias("cost")))
+        return reduce(DataFrame.union, done)
 
-def contexts(texts: DataFrame, order: int = ORDER) -> Contexts:
-    """The model of all rows of ``texts`` (a column ``text``), whatever their number of contexts."""
-    found = _context_rows(texts, order).selectExpr(*_NARROW).toArrow()
-    return Contexts.of(*(c.to_numpy() for c in found.columns), order)
+    @staticmethod
+    def _step() -> list[Column]:
+        """Of a gram's row joined with a context: the symbol's count there, what counts below the line, and what is for an escape.
 
+        Behind a longer context, its symbols are left out of both.
+        """
+        def counts(values: Column) -> Column:
+            return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v["n"])
 
-def train(texts: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> Trie:
-    """A trie of the most frequent contexts of all rows of ``texts`` (a column ``text``)."""
-    rows = _context_rows(texts, order)
-    totals = rows.groupBy("length", "context").agg(F.sum("n").alias("total"))
-    least = _least_of_most(totals, "total", max_contexts)
-    kept = F.broadcast(totals.filter(F.col("total") >= least))  # at most max_contexts rows
-    found = rows.join(kept, ["length", "context"]).selectExpr(*_NARROW).toArrow()  # at most 257 rows per context kept
-    return build(*(c.to_numpy() for c in found.columns), order)
+        count = F.get(F.filter("seen", lambda v: v["symbol"] == F.col("symbol")), 0)["n"]
+        excluded = F.filter("seen", lambda v: F.exists(F.col("longer"), lambda x: x["symbol"] == v["symbol"]))
+        behind = F.col("longer").isNotNull()
+        more = F.size("seen") - F.when(behind, F.size("longer")).otherwise(0)
+        rest = F.col("total") - F.when(behind, counts(excluded)).otherwise(0)
+        return [count.alias("count"), more.alias("more"), (rest + more).alias("below")]
 
 
 # --- scores -------------------------------------------------------------------------
 
 
-def score(documents: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(documents: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``training`` has a column ``text``.  A null or empty text has the end token alone.
@@ -343,7 +236,7 @@ def score(documents: DataFrame, training: DataFrame, doc_id: str = "doc_id", tex
     columns are not read.
     """
     spark = documents.sparkSession
-    everything = contexts(training)
+    model = Model.of(training, order)
     words = _word_counts(training)
     n_texts = training.count()
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -351,16 +244,19 @@ def score(documents: DataFrame, training: DataFrame, doc_id: str = "doc_id", tex
     below = n_all + 0.1 * (distinct + (n_texts > 0) + 1)
     short = words.filter(F.octet_length("word") <= HOT_BYTES)
     hot = short.filter(F.col("n") >= _least_of_most(short, "n", HOT)).toPandas()
-    sent = spark.sparkContext.broadcast((everything, {bytes(w): math.log10((n + 0.1) / below) for w, n in zip(hot["word"], hot["n"], strict=True)}))
+    known_words = {bytes(w): math.log10((n + 0.1) / below) for w, n in zip(hot["word"], hot["n"], strict=True)}
+    sent = spark.sparkContext.broadcast((model.hot, model.costs, known_words))
     end = math.log10((n_texts + 0.1) / below)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = sent.value
+        hot_grams, costs, known = sent.value
         for batch in batches:
             texts = batch.column(2)
-            scores = np.zeros(len(texts))
+            scores, rare = np.zeros(len(texts)), [[] for _ in range(len(texts))]
             for a, b, data, bounds in blocks(texts, 1 << 20):
-                scores[a:b] = model.scores(data, bounds)
+                scores[a:b], row, gram, n = _hot_scores(data, bounds, order, hot_grams, costs)
+                for r, g, m in zip((row + a).tolist(), gram.tolist(), n.tolist(), strict=True):
+                    rare[r].append((g, m))
             n_tokens, n_known, base, rest = [], [], [], []
             for value in texts:
                 counts = Counter((value.as_py() or "").encode().lower().split())
@@ -378,13 +274,14 @@ def score(documents: DataFrame, training: DataFrame, doc_id: str = "doc_id", tex
                 rest.append(other)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n_tokens, n_known)), pa.array(base, pa.float64()), pa.array(scores),
-                pa.array([[{"word": w, "n": n} for w, n in other] for other in rest], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
-            ], names=["_row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"])
+                _pairs(rest, "word", pa.binary()), _pairs(rare, "gram", pa.int64()),
+            ], names=["_row", "doc_id", "n_tokens", "n_known", "base", "score", "rest", "rare"])
 
     id_type = documents.schema[doc_id].dataType.simpleString()
     picked = documents.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     scanned = stage(picked.mapInArrow(
-        scan, f"_row long, doc_id {id_type}, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,n:long>>"
+        scan, f"_row long, doc_id {id_type}, n_tokens long, n_known long, base double, score double, "
+        "rest array<struct<word:binary,n:long>>, rare array<struct<gram:long,n:long>>"
     ), "scores")
     cost = F.log10((F.coalesce("total", F.lit(0)) + 0.1) / below)
     others = (
@@ -392,13 +289,52 @@ def score(documents: DataFrame, training: DataFrame, doc_id: str = "doc_id", tex
         .join(words.withColumnRenamed("n", "total"), "word", "left")
         .groupBy("_row").agg(F.sum(F.col("n") * cost).alias("more"), F.sum(F.when(F.col("total").isNotNull(), F.col("n"))).alias("found"))
     )
-    return scanned.drop("rest").join(others, "_row", "left").select(
+    rare = scanned.select("_row", F.explode("rare").alias("r")).select("_row", "r.gram", "r.n")
+    prices = model.priced(rare.select("gram").distinct())
+    grams = rare.join(prices, "gram").groupBy("_row").agg(F.sum(F.col("n") * F.col("cost")).alias("rest_score"))
+    return scanned.drop("rest", "rare").join(others, "_row", "left").join(grams, "_row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("rest_score", F.lit(0.0))).alias("score"),
     )
 
 
+def _pairs(rows: list[list[tuple]], name: str, kind: pa.DataType) -> pa.Array:
+    """A list column of (name, n) pairs."""
+    ends = np.cumsum([0] + [len(r) for r in rows])
+    flat = [x for r in rows for x in r]
+    values = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], kind), pa.array([x[1] for x in flat], pa.int64())], [name, "n"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def _hot_scores(
+    data: np.ndarray, bounds: np.ndarray, order: int, hot: np.ndarray, costs: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the costs of the hot grams of every text of a block; and row, gram and count of all others."""
+    found = grams(*_symbols(data, bounds, order), order)
+    ends = np.cumsum(np.diff(bounds) + 1)
+    if len(hot):
+        at, known = _search(hot, found)
+        own = np.where(known, costs[at], 0.0)
+    else:
+        known, own = np.zeros(len(found), bool), np.zeros(len(found))
+    sums = np.concatenate(([0.0], np.cumsum(own)))
+    scores = sums[ends] - sums[np.concatenate(([0], ends[:-1]))] if len(ends) else np.zeros(0)
+    others = np.flatnonzero(~known)
+    row, gram = np.searchsorted(ends, others, "right"), found[others]
+    by = np.lexsort((gram, row))
+    row, gram = row[by], gram[by]
+    heads = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])))) if len(row) else by
+    return scores, row[heads], gram[heads], np.diff(np.append(heads, len(row)))
+
+
+def _search(have: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys among sorted ones, and which are there."""
+    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    return at, have[at] == keys
+
+
 def digest_rows(documents: DataFrame) -> DataFrame:
     """The contract's columns, learned from the documents that are not held out."""
     held_out = crc_mod("doc_id", 10) == 0

@@ -1,16 +1,15 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import brute
 import numpy as np
-import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from tallyfold.llm import ppm as op
-from tallyfold.llm.common import crc_mod, utf8_column
 
 
 def plain_ppm(train, texts, order):
@@ -57,28 +56,39 @@ TRAIN = ["abracadabra", "Abra cad", "", None, "le chat et la chatte", "é à é"
 TEXTS = ["abra", "", None, "ABRACADABRA xyz", "zzz é", "\x00\x01", "chat " * 50, "a"]
 
 
-@pytest.mark.parametrize("order", [0, 1, 2, 5])
-def test_trie_against_plain_ppm(spark, order):
-    trie = op.train(spark.createDataFrame([(t,) for t in TRAIN], "text string").repartition(3), order)
-    got = trie.scores(*utf8_column(pa.array(TEXTS)))
-    assert np.allclose(got, plain_ppm(TRAIN, TEXTS, order), rtol=1e-5)
+def scores(spark, train, texts, order=op.ORDER):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = op.score(docs, spark.createDataFrame([(t,) for t in train], "text string").repartition(3), order=order).collect()
+    return [s for _, s in sorted((r.doc_id, r.score) for r in got)]
 
 
-def test_probabilities_sum_to_one(spark):
-    trie = op.train(spark.createDataFrame([("abcab abd",), ("xyz",)], "text string"), 3)
-    known = len(set(trie.dense.tolist()) - {trie.cost.shape[1] - 1})
-    for row in trie.cost[:-1]:
-        p = 10 ** row.astype(float)
-        assert p[:known].sum() + p[known] * (257 - known) == pytest.approx(1, abs=1e-4)
+@pytest.mark.parametrize("order, hot", [(0, 3), (1, 5), (2, 0), (5, 0), (5, 9), (5, 1 << 20)])
+def test_scores_against_plain_ppm(spark, monkeypatch, order, hot):
+    """Whatever is looked up in tasks, and however often a gram falls back to shorter contexts."""
+    monkeypatch.setattr(op, "HOT_GRAMS", hot)
+    assert np.allclose(scores(spark, TRAIN, TEXTS, order), plain_ppm(TRAIN, TEXTS, order), rtol=1e-9)
 
 
-def test_a_small_trie_is_closed(spark):
-    trie = op.train(spark.createDataFrame([(t,) for t in TRAIN], "text string"), 4, max_contexts=12)
-    assert len(trie.child) - 1 <= 12 and np.isfinite(trie.scores(*utf8_column(pa.array(TEXTS)))).all()
+def test_random_texts_against_plain_ppm(spark, monkeypatch):
+    monkeypatch.setattr(op, "HOT_GRAMS", 40)
+    pick = random.Random(6)
+    say = lambda letters: "".join(pick.choice(letters) for _ in range(pick.randrange(60)))
+    train, texts = [say("abcd ") for _ in range(30)], [say("abcde ") for _ in range(20)]
+    assert np.allclose(scores(spark, train, texts, 3), plain_ppm(train, texts, 3), rtol=1e-9)
+
+
+def test_prices_are_probabilities(spark):
+    """Over all 257 symbols the prices after a context sum to one, known, unknown or partly known."""
+    model = op.Model.of(spark.createDataFrame([("abcab abd",), ("xyz",)], "text string"), 3)
+    pack = lambda symbols: sum(s << 9 * (3 - i) for i, s in enumerate(symbols))
+    for context in (b"cab", b"zab", b"qqb", b"qqq", b"xyz"):
+        grams = spark.createDataFrame([(pack([*context, s]),) for s in range(257)], "gram long")
+        assert sum(10**r.cost for r in model.priced(grams).collect()) == pytest.approx(1, abs=1e-12)
 
 
 def test_whole_table(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(op, "HOT", 50)
+    monkeypatch.setattr(op, "HOT_GRAMS", 5000)
     docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in docs}
     train = [t for i, t in docs.items() if not held[i]]
@@ -95,15 +105,10 @@ def test_whole_table(spark, sf_dir, monkeypatch):
 
 
 def test_held_out_code_length(spark, sf_dir):
-    """Shorter than the words' own on texts that training did not see."""
+    """What the query returns for texts that training did not see is shorter than their words' own code length."""
     docs = spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet").select("doc_id", "text").repartition(8)
-    held_out = crc_mod("doc_id", 10) == 0
-    trie = op.train(docs.filter(~held_out))
-    texts = [r.text for r in docs.filter(held_out).collect()]
-    counts = Counter(w for r in docs.filter(~held_out).collect() for w in r.text.encode().lower().split())
-    n, v = counts.total(), len(counts) + 1
-    base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for t in texts for w in t.encode().lower().split())
-    assert trie.scores(*utf8_column(pa.array(texts))).sum() > base
+    held = op.digest_rows(docs).filter("held_out").collect()
+    assert len(held) > 500 and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 def test_nulls_ties_and_empty_tables(spark):
@@ -118,16 +123,3 @@ def test_nulls_ties_and_empty_tables(spark):
     assert {r.n_known for r in op.score(docs, none).collect()} == {0}
     assert op.score(docs.limit(0), none).count() == 0
     assert op.score(docs, none).filter("doc_id = 2").first().score == pytest.approx(-math.log10(257))
-
-
-@pytest.mark.parametrize("order", [0, 1, 5])
-def test_scores_with_all_contexts_against_plain_ppm(spark, order):
-    model = op.contexts(spark.createDataFrame([(t,) for t in TRAIN], "text string").repartition(3), order)
-    assert np.allclose(model.scores(*utf8_column(pa.array(TEXTS))), plain_ppm(TRAIN, TEXTS, order), rtol=1e-9)
-
-
-def test_rare_contexts_count(spark, monkeypatch):
-    monkeypatch.setattr(op.train, "__defaults__", (op.ORDER, 12))  # a small model elsewhere does not change scores
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    got = {r.doc_id: r.score for r in op.score(docs, spark.createDataFrame([(t,) for t in TRAIN], "text string")).collect()}
-    assert np.allclose([got[i] for i in range(len(TEXTS))], plain_ppm(TRAIN, TEXTS, op.ORDER), rtol=1e-9)
