@@ -29,6 +29,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(until_exit(df.sparkSession, path))
 
 
+def together(rows: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Small batches put together into some of about ``limit`` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += row.nbytes + 64
+        if size > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def crc_mod(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo ``n``; a null key counts as an empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")) % n
