@@ -99,7 +99,8 @@ ORACLE: dict[str, str] = {
     "op1_mixture": r"""
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 9) AS place
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':'
+                    || row_number() OVER (PARTITION BY source, doc_id, coalesce(text, ''))), 1, 9) AS place
   FROM documents
 ),
 ranked AS (

@@ -3,7 +3,7 @@
 DataFrame functions only: no Python in tasks, no sort of documents, no join by source
 that moves texts.
 
-1. Sizes (words) are counted once and kept with a 36-bit hash of the id, without texts.
+1. Sizes (words) are counted once and kept with a 36-bit hash of id and text, without texts.
 2. Source totals give the targets: shares by weight, capped at ``MAX_REPEATS`` times the
    source and the excess reshared until no source is above its cap.
 3. A target is a number of whole copies and a rest.  For the rest, sizes are summed by
@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
+from .keys import split_by_slot
 
 MAX_REPEATS = 3
 DIGITS = 3  # hex digits of the hash that a refinement adds: 4096 buckets
 LEVELS = 3
-MOST_SENT = 100_000  # sources whose plans are sent to every task: a few megabytes
 WEIGHTS = (1.0, 2.0, 3.0)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,9 +33,38 @@ def size_of(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def place_of(doc_id: str) -> Column:
-    """The hash of an id as hex text, so that prefixes are buckets and order is the order of text."""
-    return F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS)
+def key_of(doc_id: str, text: str) -> Column:
+    """What tells a row from others for the hash: its id and its text."""
+    own = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    return F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(own))
+
+
+def place_of(key: Column, copy: Column) -> Column:
+    """The hash of a row as hex text, so that prefixes are buckets and order is the order of text."""
+    return F.substring(F.md5(F.concat(key, F.lit(":"), copy.cast("string")).cast("binary")), 1, DIGITS * LEVELS)
+
+
+def _places(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (with ``source`` and ``key``) that share both with no other and have their ``place``, and the others with theirs.
+
+    Of rows that share source and key each gets a number of its own, so they are taken
+    apart: they are counted by task, and numbered from the sum of the tasks before.  So
+    no task holds all copies, and rows without copies are not moved.
+    """
+    same = ["source", "key"]
+    repeated = stage(rows.groupBy(*same).agg(F.count("*").alias("n")).filter("n > 1").select(*same), "repeated-keys")
+    sure, unsure = split_by_slot(rows, [F.col(c) for c in same], repeated)
+    numbered = stage(unsure.withColumn("_row", F.monotonically_increasing_id()), "copies")
+    task = F.shiftright("_row", 33).alias("_task")
+    counts = numbered.groupBy(*same, task).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*same).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    offsets = counts.select(*same, "_task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")).toDF("_source", "_key", "_task", "_before")
+    within = Window.partitionBy(*same, "_task").orderBy("_row")
+    ranked = numbered.select(*same, "_row", task).withColumn("_rank", F.row_number().over(within))
+    own = (ranked["_task"] == offsets["_task"]) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("key") == F.col("_key"))
+    copies = ranked.join(offsets, own)
+    copies = copies.select("_row", place_of(F.col("key"), F.col("_before") + F.col("_rank")).alias("place"))
+    return sure.withColumn("place", place_of(F.col("key"), F.lit(1))), numbered.join(copies, "_row").drop("_row")
 
 
 def targets(totals: DataFrame, weights: tuple[float, ...]) -> DataFrame:
@@ -64,11 +93,6 @@ def targets(totals: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     )
 
 
-def _joined(rows: DataFrame, plan: DataFrame, condition: Column, how: str = "inner") -> DataFrame:
-    """Rows with their source's plan: sent to all tasks up to ``MOST_SENT`` sources, else joined by shuffle."""
-    return rows.join(F.broadcast(plan) if plan.count() <= MOST_SENT else plan, condition, how)
-
-
 def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """``_source, bound, with_bound`` of every source with words.
 
@@ -78,7 +102,7 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     state = plan.select(F.col("source").alias("_source"), "rest", F.lit("").alias("bound"), F.lit(0).cast("long").alias("below"))
     for level in range(1, LEVELS + 1):
         known = F.substring("place", 1, DIGITS * (level - 1))
-        within = _joined(sizes, state, F.col("source").eqNullSafe(F.col("_source")) & (known == F.col("bound")))
+        within = sizes.join(state, F.col("source").eqNullSafe(F.col("_source")) & (known == F.col("bound")))
         sums = within.groupBy("_source", "rest", "below", F.substring("place", 1, DIGITS * level).alias("bucket")).agg(F.sum("size").alias("inside"))
         running = sums.withColumn("after", F.col("below") + F.sum("inside").over(Window.partitionBy("_source").orderBy("bucket")))
         edge = running.filter("after > rest").groupBy("_source", "rest").agg(F.min(F.struct("bucket", "after", "inside")).alias("edge"))
@@ -106,41 +130,49 @@ def mixture_plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> Data
 
 
 def copies() -> Column:
-    """How often a row with ``place`` and its source's plan is taken."""
+    """How often a row with ``place`` and its source's plan is taken; one without words never is."""
     more = (F.col("place") < F.col("bound")) | ((F.col("place") == F.col("bound")) & F.col("with_bound"))
-    return F.col("full") + F.coalesce(more, F.lit(False)).cast("long")
+    return F.when(F.col("size") > 0, F.col("full") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with their source's plan and ``copies``.  Spark sends the plan to all tasks up to its broadcast limit in bytes."""
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", copies())
 
 
 def _sizes(documents: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
-    return stage(documents.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
-        size_of(text).alias("size"), place_of(doc_id).alias("place"),
+    narrow = stage(documents.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(text).alias("size"), key_of(doc_id, text).alias("key"),
     ), "sizes")
+    alone, repeated = _places(narrow)
+    return stage(alone.union(repeated.select(*alone.columns)).drop("key"), "places")
 
 
 def taken(documents: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row.
 
     A null or empty text has size 0 and is taken for nothing; a null source is a source
-    and comes last.  Equal ids share a hash and are taken together; null ids count as an
-    empty id.  A source without words has target 0.  Empty tables give no rows.  Other
-    columns are not read.
+    and comes last.  Rows that share id, text and source are numbered and taken apart, so
+    that targets are met whatever the ids; a null id is an empty one.  A source without
+    words has target 0.  Empty tables give no rows.  Other columns are not read.
     """
     sizes = _sizes(documents, doc_id, source, text)
-    plan = mixture_plan(sizes, weights)
-    return _joined(sizes, plan, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "size", "source_size", "target", (copies() * F.col("size")).alias("taken")
+    return _planned(sizes, mixture_plan(sizes, weights)).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
 def mix(documents: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The mixture: rows taken once or more, as they came, with ``copies`` and the columns of ``taken``.
 
-    Columns of those names are replaced.  Texts are read twice and never shuffled.
+    Columns of those names are replaced.  Texts are read twice, and of them only rows with
+    exact copies of the same id are moved, unless there are more sources than Spark sends
+    to all tasks.  Which of several such copies are taken is open.
     """
     plan = mixture_plan(_sizes(documents, doc_id, source, text), weights)
     made = ["size", "source_size", "target", "copies", "taken"]
     own = [c for c in documents.columns if c not in made]
-    rows = documents.select(F.struct(*own).alias("row"), F.col(source).cast("string").alias("source"), size_of(text).alias("size"), place_of(doc_id).alias("place"))
-    joined = _joined(rows, plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", copies()).filter("copies > 0")
-    return joined.select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    rows = documents.select(F.struct(*own).alias("row"), F.col(source).cast("string").alias("source"), size_of(text).alias("size"), key_of(doc_id, text).alias("key"))
+    alone, repeated = _places(rows)
+    mixed = _planned(alone.union(repeated.select(*alone.columns)), plan).filter("copies > 0")
+    return mixed.select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -65,3 +65,18 @@ def test_clashing_names_and_empty_tables(spark):
     assert mixed["size"] == 2 and mixed["place"] == 9 and mixed["copies"] == 1
     assert op.taken(df.limit(0)).count() == op.mix(df.limit(0)).count() == 0
     assert op.taken(spark.createDataFrame([(1, "s", None)], "doc_id long, source string, text string")).first().taken == 0
+
+
+def test_equal_and_null_ids_are_taken_apart(spark):
+    rows = [(None, "a", "w " * 100)] * 200 + [(5, "a", "x y")] * 40 + [(i, "b", "z " * 500) for i in range(80)] + [(None, "a", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = op.taken(df.repartition(4), weights=(1.0, 1.0)).collect()
+    target = {r.source_size: r.target for r in got}[20080]
+    assert abs(sum(r.taken for r in got if r.source_size == 20080) - target) <= 100 and target % 20080 > 5000
+    assert len({r.taken for r in got if r["size"] == 100}) == 2  # rows of one id, taken differently
+
+
+def test_rows_without_words_have_no_copies(spark):
+    df = spark.createDataFrame([(i, "s", None if i % 2 else " ") for i in range(20)] + [(99, "s", "a b"), (100, "t", "c " * 1000)], "doc_id long, source string, text string")
+    mixed = op.mix(df).collect()
+    assert {r.doc_id for r in mixed} == {99, 100} and max(r.copies for r in mixed) <= 3
