@@ -410,7 +410,8 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     docs = _keyed(documents, doc_id, text)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     spans = _repeats(_pieces(docs, id_type), id_type)
-    ordered = F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + LENGTH - 1).alias("end"))))
+    # a set: rows that share id and text report the same spans
+    ordered = F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n") + LENGTH - 1).alias("end"))))
     return spans.groupBy("doc_id", "text_hash").agg(ordered.alias("spans"))
 
 
