@@ -181,10 +181,11 @@ class Model:
         frequent = grams.filter(F.col("n") >= least).withColumn("key", _key(order, F.shiftright("gram", _BITS)))
         priced = frequent.join(table.withColumn("distinct", F.size("seen")).drop("seen"), "key")
         # HOT_GRAMS rows of two numbers
-        hot = priced.select("gram", (F.log10("n") - F.log10(F.col("total") + F.col("distinct"))).alias("cost")).toPandas().sort_values("gram")
+        hot = priced.select("gram", (F.log10("n") - F.log10(F.col("total") + F.col("distinct"))).alias("cost")).toArrow()
+        by = np.argsort(hot.column("gram").to_numpy())
         root = table.filter("key = 0").select(F.size("seen")).first()
         last = -math.log10(max(EDGE + 1 - (root[0] if root else 0), 1))
-        return Model(order, table, hot["gram"].to_numpy(np.int64), hot["cost"].to_numpy(np.float64), last)
+        return Model(order, table, hot.column("gram").to_numpy()[by], hot.column("cost").to_numpy()[by], last)
 
     def priced(self, grams: DataFrame) -> DataFrame:
         """``gram, cost`` of every row of a table of different grams."""
