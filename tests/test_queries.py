@@ -1,6 +1,8 @@
 """Every registered query against its SQL in a second engine."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -30,3 +32,10 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     df = entry(spark)
     assert df.columns == ["word", "docs", "doc_id", "tf"] and df.limit(1).count() == 1
+
+
+def test_core_loads_without_an_optional_package():
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; print(*sorted(e.queries()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert set(QUERIES) <= set(done.stdout.split())
