@@ -1,24 +1,31 @@
-"""Main text of web pages: markup where it speaks, a suffix array of the host where it does not.
+"""Main text of web pages: a suffix array of the host's token streams, with markup as evidence.
 
 A page is cut into blocks of three zones: the *article* as marked up, *chrome* (menus,
 headers, footers, sidebars, notices, adverts, forms, comments) by element, role or class
-name, and *open* blocks outside both.  A page with an article gives its blocks; another
-gives its open blocks without the host's boilerplate.
+name, and *open* blocks outside both.  Chrome is dropped.
 
-Boilerplate: the tokens of all blocks outside articles make a stream per page.  Runs of
-``RUN`` tokens or more that stand on two or more different pages of a host are found in
-suffix arrays of the host's streams, and what they cover is removed; unique runs stay.
+Boilerplate: the tokens of all blocks make a stream per page.  Runs of ``RUN`` tokens or
+more that stand on a share ``SHARE`` of a host's pages, and on ``LEAST_PAGES`` at least,
+are found in suffix arrays of the host's streams and removed wherever they stand, in
+marked articles too; unique runs stay.  Pages whose own text is nearly the same, as copies
+of one article are, count as one page, so that what only copies share is no boilerplate.
+
+Of what is left a page gives the article blocks, unless they hold less than half as many
+tokens as the open blocks: then markup has named a part only, and both are given.
 
 A host may hold any share of all pages, so no task gets a whole host.  Streams are cut
 into segments by an anchor (the least hash of a token pair in every window of ``RUN``
-tokens), so equal windows meet under the same host and anchor; equal segments are
-summed before they move, and each task builds suffix arrays of the different ones.
+tokens), so equal windows meet under the same host and anchor.  Anchors are counted
+first: only segments whose anchor is on enough pages, and outside chrome on one of them,
+are written, equal ones are summed before they move, and each task builds suffix arrays of
+the different ones.  Pages without such a run are not moved.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, mix, sliding_min, stage
+from .keys import SLOT_BITS, bitmap, has, split_by_slot
 from .suffix_dedup import common_prefixes, runs, suffix_array
 
 RUN = 10
+SHARE = 0.6  # of a host's pages, as a template has; what a third of them quote is no boilerplate
+LEAST_PAGES = 6
 SHARD_TOKENS = 200_000
 ARTICLE, OPEN, CHROME = 0, 1, 2
 
@@ -57,8 +67,9 @@ _INLINE = {
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![-\w])(class|id|role|itemprop|hidden|style)(?![-\w])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _STATE = re.compile(r"(?<![a-z0-9])(?:has|with|without|no|is)[-_][a-z0-9]+")  # says what a page has around it, not what it is
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _SPACE = re.compile(r"\s+")
 
 
@@ -73,6 +84,8 @@ def _zone(tag: str, attributes: str, zone: int) -> int:
     if attributes and ("=" in attributes or "hidden" in attributes):
         for key, *values in _ATTRIBUTE.findall(attributes):
             value = "".join(values).lower()
+            if key.lower() == "hidden" and value != "until-found" or key.lower() == "style" and _UNSEEN.search(value):
+                return -1
             if key.lower() == "role" and value in _CHROME_ROLES:
                 return CHROME
             if key.lower() == "role" and value == "main":
@@ -94,7 +107,7 @@ def _zone(tag: str, attributes: str, zone: int) -> int:
 def page_blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of all blocks with text, in page order."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, list[str] | None]] = []  # element, zone inside, and the block around an inline one of another zone
     text: list[str] = []
     zone = OPEN
     at = 0
@@ -106,11 +119,23 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
             if block and zone >= 0:
                 out.append((zone, block))
 
+    def leave(down_to: int) -> None:
+        """End the elements from a place in the stack on; a block around an inline one goes on."""
+        nonlocal text, zone
+        while len(stack) > down_to:
+            around = stack.pop()[2]
+            if around is not None:
+                close()
+                text = around
+            zone = stack[-1][1] if stack else OPEN
+
     while True:
         mark = _MARK.search(page, at)
         if zone >= 0 and (end := mark.start() if mark else len(page)) > at:
             text.append(html.unescape(page[at:end]))
         if not mark:
+            close()
+            leave(0)
             close()
             return out
         at = mark.end()
@@ -121,32 +146,36 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
         if tag == "br":
             text.append("\n")
             continue
-        if tag in _INLINE and not (attributes and not closing and _zone(tag, attributes, zone) != zone):
-            if closing and any(t == tag for t, _ in stack[-1:]):
-                close()
-                stack.pop()
-                zone = stack[-1][1] if stack else OPEN
+        if tag in _INLINE:
+            inside = _zone(tag, attributes, zone) if attributes and not closing else zone
+            if inside != zone and tag not in _VOID:
+                stack.append((tag, inside, text))
+                text, zone = [], inside
+            elif stack and stack[-1][0] == tag:  # within an inline element of another zone
+                if closing:
+                    leave(len(stack) - 1)
+                elif tag not in _VOID:
+                    stack.append((tag, zone, None))
             continue
         close()
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    leave(i)
+                    close()
                     break
-            zone = stack[-1][1] if stack else OPEN
         elif tag not in _VOID and not attributes.endswith("/"):
             if tag in _RAW:
                 end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
                 continue
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-                stack.pop()  # these close themselves
-                zone = stack[-1][1] if stack else OPEN
+                leave(len(stack) - 1)  # these close themselves
             if tag == "body":  # closes an open head
-                stack.clear()
-                zone = OPEN
+                leave(0)
+            close()
             zone = _zone(tag, attributes or "", zone)
-            stack.append((tag, zone))
+            stack.append((tag, zone, None))
 
 
 def host_of(url: str | None) -> str:
@@ -158,10 +187,18 @@ def host_of(url: str | None) -> str:
 
 
 def _stream(texts: list[str]) -> list[str]:
-    """The tokens of a page's blocks outside articles."""
+    """The tokens of a page's blocks."""
     return [w for t in texts for w in t.split(" ")]
 
 
+def signature(zones: list[int], texts: list[str]) -> int:
+    """A hash that pages with nearly the same own text are likely to share: the least of its token triples'."""
+    tokens = _stream([t for z, t in zip(zones, texts, strict=True) if z != CHROME]) or _stream(texts)
+    ids = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in tokens), np.uint64, len(tokens))
+    grams = gram_hashes(ids, min(3, len(ids))) if len(ids) else ids
+    return int(grams.min()) - (1 << 63) if len(grams) else 0
+
+
 def _segments(tokens: list[str], host: int) -> Iterator[tuple[int, int, int]]:
     """Anchor, first window and number of windows of the segments of a stream."""
     if len(tokens) < RUN:
@@ -175,11 +212,10 @@ def _segments(tokens: list[str], host: int) -> Iterator[tuple[int, int, int]]:
     yield from zip(anchors.tolist(), first.tolist(), np.diff(np.append(first, len(place))).tolist(), strict=True)
 
 
-def _shard_runs(pieces: list[list[str]], low: np.ndarray, high: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece, offset and number of windows that stand on two or more pages.
+def _shard_runs(pieces: list[list[str]], pages: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Piece, offset, number of windows and number of pages of runs of windows on ``LEAST_PAGES`` or more.
 
-    ``low`` and ``high`` are the least and greatest page of each piece, so a window is on
-    different pages when they differ over all pieces that hold it.
+    ``pages`` says on how many pages a piece stands; a window is on those of all pieces that hold it.
     """
     names: dict[str, int] = {}
     sizes = np.array([len(p) for p in pieces], np.int64)
@@ -194,32 +230,80 @@ def _shard_runs(pieces: list[list[str]], low: np.ndarray, high: np.ndarray, anch
     windows = order[full]
     group, own = np.cumsum(shared[order] < RUN)[full], anchors[piece_of[windows]]
     # equal windows of different hosts, which have different anchors, are different
-    by = np.lexsort((own, group))
+    by = np.lexsort((piece_of[windows], own, group))
     windows, group, own = windows[by], group[by], own[by]
     heads = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (own[1:] != own[:-1]))))
+    again = np.zeros(len(windows), bool)  # a piece counts once for a window
+    again[1:] = (piece_of[windows[1:]] == piece_of[windows[:-1]]) & (group[1:] == group[:-1]) & (own[1:] == own[:-1])
     size = np.diff(np.append(heads, len(windows)))
-    least = np.minimum.reduceat(low[piece_of[windows]], heads)
-    most = np.maximum.reduceat(high[piece_of[windows]], heads)
-    repeated = np.zeros(len(ids), bool)
-    repeated[windows] = np.repeat(least != most, size)
-    begin, end = runs(repeated, starts)
+    holders = np.add.reduceat(np.where(again, 0.0, pages[piece_of[windows]]), heads) if len(heads) else np.zeros(0)
+    on = np.zeros(len(ids) + 1)
+    on[windows] = np.repeat(holders, size)
+    on[on < LEAST_PAGES - 1e-6] = 0
+    first = np.zeros(len(ids) + 1, bool)
+    first[starts] = True
+    new = np.flatnonzero(np.concatenate(([True], (on[1:] != on[:-1]) | first[1:])))
+    new = new[new < len(ids)]
+    count = np.diff(np.append(new, len(ids)))
+    good = on[new] > 0
+    begin, count = new[good], count[good]
     piece = piece_of[begin]
-    return piece, begin - starts[piece], end - begin
+    return piece, begin - starts[piece], count, on[begin]
+
 
+_SEGMENT = "anchor long, body string, _key long, host long, sig long, start long, n long, own int, open boolean"
 
-def _boilerplate(parsed: DataFrame, key: str) -> DataFrame:
-    """``_key, spans``: runs of windows (start, n) of every page's stream that other pages of its host share."""
+
+def _common_anchors(parsed: DataFrame) -> np.ndarray:
+    """Bits of the anchors that stand on ``LEAST_PAGES`` pages or more, and outside chrome on one of them."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[int, list] = {}
+            for host, zones, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for anchor, is_open in {a: o for a, *_, o in sorted(_placed(zones, texts, host), key=lambda x: x[3])}.items():
+                    state = counts.setdefault(anchor, [0, False])
+                    state[0] += 1
+                    state[1] |= is_open
+            values = list(counts.values())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(counts.keys(), pa.int64()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.bool_())],
+                names=["anchor", "n", "open"],
+            )
+
+    found = parsed.select("host", "zones", "texts").mapInArrow(scan, "anchor long, n long, open boolean")
+    common = found.groupBy("anchor").agg(F.sum("n").alias("n"), F.max("open").alias("open")).filter((F.col("n") >= LEAST_PAGES) & F.col("open"))
+    return bitmap(common.select(F.col("anchor").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).alias("slot")), "slot")
+
+
+def _placed(zones: list[int], texts: list[str], host: int) -> Iterator[tuple[int, int, int, bool]]:
+    """Anchor, first window, number of windows of a page's segments, and whether a token of them is outside chrome."""
+    outside = np.concatenate(([0], np.cumsum([z != CHROME for z, t in zip(zones, texts, strict=True) for _ in range(t.count(" ") + 1)])))
+    for anchor, start, n in _segments(_stream(texts), host):
+        yield anchor, start, n, bool(outside[start + n + RUN - 1] > outside[start])
+
+
+def _boilerplate(parsed: DataFrame) -> DataFrame:
+    """``_page, spans``: runs of windows (start, n) of the pages' streams that enough other pages of their hosts share."""
+    sent = parsed.sparkSession.sparkContext.broadcast(_common_anchors(parsed))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
         for batch in batches:
             rows = []
-            for page, content, host, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = _stream(texts)
-                for anchor, start, n in _segments(tokens, host):
-                    rows.append((anchor, " ".join(tokens[start : start + n + RUN - 1]), page, content, start, n))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.int64(), pa.string(), key_type, pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["anchor", "body", "_key", "content", "start", "n"])
+            for page, host, sig, zones, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens, within = _stream(texts), Counter()
+                for anchor, start, n, is_open in _placed(zones, texts, host):
+                    if has(bits, np.array([anchor & ((1 << SLOT_BITS) - 1)]))[0]:
+                        body = tokens[start : start + n + RUN - 1]
+                        rows.append((anchor, " ".join(body), page, host, sig, start, n, 1, is_open))
+                        within.update({(anchor, " ".join(body[i : i + RUN])) for i in range(n)})
+                # a page has one vote for a window: further segments with it are taken back
+                rows += [(anchor, window, page, host, sig, -1, 1, 1 - times, False) for (anchor, window), times in within.items() if times > 1]
+            columns = list(zip(*rows, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                                             names=["anchor", "body", "_key", "host", "sig", "start", "n", "own", "open"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -227,12 +311,13 @@ def _boilerplate(parsed: DataFrame, key: str) -> DataFrame:
 
         def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             pieces = [r[1].split(" ") for r in rows]
-            numbers = [np.array([r[i] for r in rows], np.int64) for i in (0, 2, 3)]
-            piece, offset, n = _shard_runs(pieces, numbers[1], numbers[2], numbers[0])
+            piece, offset, n, pages = _shard_runs(pieces, np.array([r[2] for r in rows]), np.array([r[0] for r in rows], np.int64))
             if len(piece):
+                at = piece.tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers[0][piece]), pa.array([rows[p][1] for p in piece], pa.string()), pa.array(offset), pa.array(n)],
-                    names=["anchor", "body", "offset", "count"],
+                    [*(pa.array([rows[p][i] for p in at], t) for i, t in ((0, pa.int64()), (1, pa.string()), (3, pa.int64()))),
+                     pa.array(offset), pa.array(n), pa.array(pages)],
+                    names=["anchor", "body", "host", "offset", "count", "pages"],
                 )
 
         for batch in batches:
@@ -245,16 +330,18 @@ def _boilerplate(parsed: DataFrame, key: str) -> DataFrame:
         if held:
             yield from flush(held)
 
-    key_type = pa.int64()
-    found = stage(parsed.select(key, "content", "host", "texts").mapInArrow(
-        cut, "anchor long, body string, _key long, content long, start long, n long"
-    ), "segments")
-    bodies = found.groupBy("anchor", "body").agg(F.min("content").alias("low"), F.max("content").alias("high"))
+    found = stage(parsed.select("_key", "host", "sig", "zones", "texts").mapInArrow(cut, _SEGMENT), "segments")
+    groups = stage(parsed.groupBy("host", "sig").agg(F.count("*").alias("alike")), "like-pages")
+    hosts = groups.groupBy("host").agg(F.count("*").alias("all"))
+    # pages with the same signature share one vote
+    weighed = found.join(groups.filter("alike > 1"), ["host", "sig"], "left")
+    bodies = weighed.groupBy("anchor", "body").agg(F.sum(F.col("own") / F.coalesce("alike", F.lit(1))).alias("pages"), F.first("host").alias("host"))
     dealt = bodies.repartition("anchor").sortWithinPartitions("anchor", "body")
-    repeated = dealt.mapInArrow(compare, "anchor long, body string, offset long, count long")
+    repeated = dealt.mapInArrow(compare, "anchor long, body string, host long, offset long, count long, pages double")
+    common = repeated.join(hosts, "host").filter(F.col("pages") >= F.col("all") * SHARE - 1e-6).select("anchor", "body", "offset", "count")
     return (
-        found.join(repeated, ["anchor", "body"])
-        .groupBy("_key").agg(F.sort_array(F.collect_set(F.struct((F.col("start") + F.col("offset")).alias("start"), "count"))).alias("spans"))
+        found.filter("open").join(common, ["anchor", "body"])
+        .groupBy(F.col("_key").alias("_page")).agg(F.sort_array(F.collect_set(F.struct((F.col("start") + F.col("offset")).alias("start"), "count"))).alias("spans"))
     )
 
 
@@ -265,42 +352,27 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     """``page_id, url, text`` of every row; the text is empty if there is none.
 
     A null page is empty; pages without a host share the empty one.  Repeated rows and
-    equal or null ids each give a row; pages with equal content are one page as evidence
-    of boilerplate.  An empty table gives no rows.  Other columns are not read.
+    equal or null ids each give a row; pages with nearly the same own text are one page as
+    evidence of boilerplate.  An empty table gives no rows.  Other columns are not read.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done, zones, texts, hosts, contents = [], [], [], [], []
+            zones, texts, hosts, sigs = [], [], [], []
             for value, address in zip(batch.column(3), batch.column(2), strict=True):
                 found = page_blocks(value.as_py() or "")
-                article = [t for z, t in found if z == ARTICLE]
-                done.append("\n".join(article) if article else None)
-                zones.append([z for z, _ in found if z != ARTICLE])
-                texts.append([t for z, t in found if z != ARTICLE])
+                zones.append([z for z, _ in found])
+                texts.append([t for _, t in found])
                 hosts.append(xxhash.xxh3_64_intdigest(host_of(address.as_py())) - (1 << 63))
-                contents.append(xxhash.xxh3_64_intdigest("\n".join(_stream(texts[-1]))) - (1 << 63))
+                sigs.append(signature(zones[-1], texts[-1]))
             yield pa.RecordBatch.from_arrays([
-                *batch.columns[:3], pa.array(hosts, pa.int64()), pa.array(contents, pa.int64()),
-                pa.array(zones, pa.list_(pa.int8())), pa.array(texts, pa.list_(pa.string())), pa.array(done, pa.string()),
-            ], names=["_key", "page_id", "url", "host", "content", "zones", "texts", "text"])
+                *batch.columns[:3], pa.array(hosts, pa.int64()), pa.array(sigs, pa.int64()),
+                pa.array(zones, pa.list_(pa.int8())), pa.array(texts, pa.list_(pa.string())),
+            ], names=["_key", "page_id", "url", "host", "sig", "zones", "texts"])
 
     def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for zones, texts, spans in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
-                gone = bytearray(sum(t.count(" ") + 1 for t in texts))
-                for span in spans or []:
-                    size = span["count"] + RUN - 1
-                    gone[span["start"] : span["start"] + size] = b"\1" * size
-                at, kept = 0, []
-                for z, t in zip(zones, texts, strict=True):
-                    words = t.split(" ")
-                    left = " ".join(w for w, g in zip(words, gone[at : at + len(words)], strict=True) if not g)
-                    at += len(words)
-                    if z == OPEN and left:
-                        kept.append(left)
-                out.append("\n".join(kept))
+            out = [_kept(*row) for row in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     id_type = pages.schema[page_id].dataType.simpleString()
@@ -308,14 +380,32 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
         F.monotonically_increasing_id().alias("_key"), F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html")
     )
     parsed = stage(picked.mapInArrow(
-        parse, f"_key long, page_id {id_type}, url string, host long, content long, zones array<tinyint>, texts array<string>, text string"
+        parse, f"_key long, page_id {id_type}, url string, host long, sig long, zones array<tinyint>, texts array<string>"
     ), "pages")
-    spans = _boilerplate(parsed, "_key").withColumnRenamed("_key", "_page")
-    # pages with an article are ready and stay where they are
-    ready = parsed.filter(F.col("text").isNotNull()).select("page_id", "url", "text")
-    joined = parsed.filter(F.col("text").isNull()).join(spans, F.col("_key") == F.col("_page"), "left")
-    others = joined.select("page_id", "url", "zones", "texts", "spans").mapInArrow(join_blocks, f"page_id {id_type}, url string, text string")
-    return ready.unionByName(others)
+    spans = stage(_boilerplate(parsed), "boilerplate")
+    sure, unsure = split_by_slot(parsed, [F.col("_key")], spans.select("_page"))
+    columns = ["page_id", "url", "zones", "texts"]
+    joined = unsure.join(spans, F.col("_key") == F.col("_page"), "left").select(*columns, "spans")
+    whole = sure.select(*columns, F.lit(None).cast("array<struct<start:bigint,count:bigint>>").alias("spans")).union(joined)
+    return whole.mapInArrow(join_blocks, f"page_id {id_type}, url string, text string")
+
+
+def _kept(zones: list[int], texts: list[str], spans: list[dict] | None) -> str:
+    """The blocks without boilerplate: of the article, or if that is the smaller part of article and open ones."""
+    gone = bytearray(sum(t.count(" ") + 1 for t in texts))
+    for span in spans or []:
+        size = span["count"] + RUN - 1
+        gone[span["start"] : span["start"] + size] = b"\1" * size
+    at, kept, tokens = 0, [], {ARTICLE: 0, OPEN: 0, CHROME: 0}
+    for z, t in zip(zones, texts, strict=True):
+        words = t.split(" ")
+        left = [w for w, g in zip(words, gone[at : at + len(words)], strict=True) if not g] if spans else words
+        at += len(words)
+        if left and z != CHROME:
+            tokens[z] += len(left)
+            kept.append((z, " ".join(left)))
+    wanted = {ARTICLE} if 2 * tokens[ARTICLE] >= tokens[OPEN] and tokens[ARTICLE] else {ARTICLE, OPEN}
+    return "\n".join(t for z, t in kept if z in wanted)
 
 
 def digest_rows(pages: DataFrame) -> DataFrame:
