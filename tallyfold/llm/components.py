@@ -13,8 +13,9 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
 
     Alternates large and small stars until nothing changes: a number of rounds that
     grows with the logarithm of the longest path.  Minima are aggregated before the
-    shuffle; the joins carry one row per link, so a node with very many links is split
-    like any other skewed key.  Links of a node with itself, and null ends, are ignored.
+    shuffle.  They are written before links are joined with them, so that both sides of
+    such a join are shuffles of its own and Spark's adaptive execution splits a node with
+    very many links.  Links of a node with itself, and null ends, are ignored.
     """
     a, b = F.col(left), F.col(right)
     edges = stage(
@@ -27,9 +28,9 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
             return edges
         before = tuple(state)
         both = edges.union(edges.select("root", "node")).toDF("node", "next")
-        least = both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("root"))
-        large = both.filter("next > node").join(least, "node").select(F.col("next").alias("node"), "root").distinct()
-        least = large.groupBy("node").agg(F.min("root").alias("least"))
+        least = stage(both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("root")), "minima")
+        large = stage(both.filter("next > node").join(least, "node").select(F.col("next").alias("node"), "root").distinct(), "large-stars")
+        least = stage(large.groupBy("node").agg(F.min("root").alias("least")), "minima")
         moved = large.join(least, "node")
         small = moved.filter("root <> least").select("root", "least").union(least.select("node", "least"))
         edges = stage(small.toDF("node", "root").distinct(), "stars")

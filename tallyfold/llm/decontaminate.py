@@ -25,11 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, byte_values, gram_hashes, mix, prefix_sums, runs, sliding_min, span_hashes, stage
-from .keys import matching, split_by_slot
+from .keys import SLOT_BITS, bitmap, has, matching, split_by_slot
 
 WINDOW = 13
 GRAM = 5
-SLOTS = 1 << 22
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
@@ -51,7 +50,7 @@ def _slots(words: np.ndarray, window: int) -> np.ndarray:
     if len(words) < window:
         return np.zeros(0, np.int64)
     least = sliding_min(gram_hashes(words, gram), window - gram + 1)
-    return (mix(least + np.uint64(window)) & np.uint64(SLOTS - 1)).astype(np.int64)
+    return (mix(least + np.uint64(window)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
 
 def _digest(words: list[bytes], start: int, window: int) -> bytes:
@@ -109,25 +108,20 @@ def contamination(
     documents without hits.  Other columns are not read.
     """
     windows = stage(benchmark_windows(benchmark, item_id, text, window), "bench-windows")
-    # at most SLOTS numbers for each of the window lengths, which are one to window
-    found = windows.select("words", "slot").distinct().toPandas()
-    slots: dict[int, bytes] = {}
-    for width, group in found.groupby("words"):
-        bits = np.zeros(SLOTS, bool)
-        bits[group["slot"].to_numpy()] = True
-        slots[int(width)] = np.packbits(bits).tobytes()
-    sent = documents.sparkSession.sparkContext.broadcast(slots)
+    widths = sorted(r.words for r in windows.select("words").distinct().collect())  # one to window
+    # one bitmap for all lengths: slots are made from the length as well
+    sent = documents.sparkSession.sparkContext.broadcast(bitmap(windows, "slot"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps = {w: np.unpackbits(np.frombuffer(b, np.uint8)).view(bool) for w, b in sent.value.items()}
+        bits = sent.value
         for batch in batches:
             texts = batch.column(2)
             n_words, hits = np.zeros(len(texts), np.int64), [None] * len(texts)
             for first, end, data, bounds in blocks(texts):
                 hashes, at = _word_hashes(data, bounds)
                 n_words[first:end] = np.diff(at)
-                for width, bitmap in bitmaps.items():
-                    starts = np.flatnonzero(bitmap[_slots(hashes, width)])
+                for width in widths:
+                    starts = np.flatnonzero(has(bits, _slots(hashes, width)))
                     rows = np.searchsorted(at, starts, "right") - 1
                     whole = starts + width <= at[rows + 1]
                     starts, rows = starts[whole], rows[whole]
