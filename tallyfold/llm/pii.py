@@ -21,12 +21,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import chunks, let, part, running_maxima, running_sums
 from .common import stage
+from .keys import possible, split_by_slot
 
 REACH = 60
 SUPPORT = 5
 DISCLOSURE = 0.95
-MOST_SENT = 100_000  # terms of at most 64 letters, or rows of two hashes and their terms: some megabytes
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _HOST = "[A-Za-z0-9-]"
@@ -73,20 +74,18 @@ _BASE: list[tuple[str, str, str, Callable[[Column], Column]]] = [
 
 def _occurrences(text: Column, kind: str, pattern: str, valid: Callable[[Column], Column]) -> Column:
     """Spans of all valid matches: the pieces between matches give the places."""
-    pieces = F.zip_with(
-        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")),
-    )
+    gaps = F.split(text, pattern, -1)
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.zip_with(gaps, values, lambda gap, value: F.struct(
+        F.length(gap).alias("gap"), F.coalesce(F.length(value), F.lit(0)).alias("size"), value.alias("value")))
 
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["at"] + piece["gap"]
-        end = start + F.coalesce(F.length(piece["value"]), F.lit(0))
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), piece["value"].alias("value"))
-        good = piece["value"].isNotNull() & valid(piece["value"])
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+    def placed(pieces: Column) -> Column:
+        before = running_sums(F.transform(pieces, lambda p: p["gap"] + p["size"]))
+        spans = F.zip_with(pieces, before, lambda p, at: F.struct(
+            F.lit(kind).alias("kind"), (at + p["gap"]).alias("start"), (at + p["gap"] + p["size"]).alias("end"), p["value"].alias("value")))
+        return F.filter(spans, lambda s: s["value"].isNotNull() & valid(s["value"]))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("found"))
-    return F.aggregate(pieces, zero, step, lambda acc: acc["found"])
+    return let(pieces, placed)
 
 
 def base_spans(text: str) -> Column:
@@ -105,10 +104,18 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), plain)
 
 
-def _beside(text: Column, span: Column) -> Column:
-    """Terms near a span; what the reach cuts through counts as it is cut, alike everywhere."""
-    before = F.substring(text, F.greatest(span["start"] - REACH, F.lit(0)) + 1, F.least(span["start"], F.lit(REACH)))
-    after = F.substring(text, span["end"] + 1, F.lit(REACH))
+def _beside(cut: Column, span: Column) -> Column:
+    """Whole terms within reach of a span, of a text cut into chunks.
+
+    What is left of a word that the reach or the span cuts through is no word and left out.
+    """
+    start, end = span["start"], span["end"]
+    before = part(cut, start - REACH - 1, start)
+    after = part(cut, end, end + REACH + 1)
+    before = F.when(start > REACH, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
+    before = F.when(span["value"].rlike(r"^\p{L}"), F.regexp_replace(before, r"(?<!\p{L})\p{L}++$", "")).otherwise(before)
+    after = F.when(F.length(after) > REACH, F.regexp_replace(after, r"(?<!\p{L})\p{L}++$", "")).otherwise(after)
+    after = F.when(span["value"].rlike(r"\p{L}$"), F.regexp_replace(after, r"^\p{L}+", "")).otherwise(after)
     return F.regexp_extract_all(F.lower(F.concat(before, F.lit("\n"), after)), F.lit(TERM), F.lit(0))
 
 
@@ -125,14 +132,12 @@ def _find_base(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return stage(rows.select(
         "doc_id", "text_hash",
         F.transform("found", lambda s: F.struct(s["kind"], s["start"], s["end"])).alias("base"),
-        F.transform("found", lambda s: F.struct(_entity(s).alias("entity"), _beside(F.col("text"), s).alias("terms"))).alias("entities"),
+        F.when(F.size("found") > 0, let(chunks(F.col("text")), lambda cut: F.transform(
+            "found", lambda s: F.struct(_entity(s).alias("entity"), _beside(cut, s).alias("terms"))
+        ))).otherwise(F.array().cast("array<struct<entity:string,terms:array<string>>>")).alias("entities"),
     ), "base-spans")
 
 
-def _sent(right: DataFrame) -> DataFrame:
-    return F.broadcast(right) if right.count() <= MOST_SENT else right
-
-
 def _mutual(total: float, n_term: Column) -> Column:
     return F.log2(F.lit(total) * F.col("n_both") / (F.col("n_entity") * n_term))
 
@@ -146,8 +151,8 @@ def disclosing_terms(found: DataFrame, documents: DataFrame, text: str = "text")
     near = seen.select("text_hash", "entity", F.explode("terms").alias("term"))
     beside = near.groupBy("term").agg(F.count_distinct("text_hash").alias("n_beside"))
     both = near.groupBy("entity", "term").agg(F.count_distinct("text_hash").alias("n_both")).filter(F.col("n_both") >= SUPPORT)
-    # a term stands in no fewer texts than those that have it beside some entity, so a pair
-    # that would fail with so few fails; this leaves out the words that stand beside all
+    # whole terms stand in no fewer texts than those that have them beside some entity, so a
+    # pair that would fail with so few fails; this leaves out the words that stand beside all
     able = _mutual(total, F.col("n_beside")) >= DISCLOSURE * content
     pairs = stage(both.join(texts, "entity").join(beside, "term").filter((content > 0) & able), "disclosure-pairs")
     candidates = stage(pairs.select("term").distinct(), "candidate-terms")
@@ -155,7 +160,9 @@ def disclosing_terms(found: DataFrame, documents: DataFrame, text: str = "text")
         F.xxhash64(F.col(text).cast("string")).alias("text_hash"),
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(TERM), F.lit(0)))).alias("term"),
     )
-    holders = stage(words.join(_sent(candidates), "term").select("text_hash", "term").distinct(), "term-holders")
+    # only words that may be candidates are moved
+    likely = possible(words, [F.col("term")], candidates)
+    holders = stage(likely.join(candidates, "term").select("text_hash", "term").distinct(), "term-holders")
     n_term = holders.groupBy("term").agg(F.count("*").alias("n_term"))
     beyond = pairs.join(n_term, "term").select("term", "entity", (_mutual(total, F.col("n_term")) / content).alias("disclosure"))
     return beyond.filter(F.col("disclosure") >= DISCLOSURE), holders
@@ -165,14 +172,29 @@ def _term_sets(found: DataFrame, documents: DataFrame, text: str) -> DataFrame:
     """Staged ``text_hash, terms``: what is to be generalised in which text."""
     beyond, holders = disclosing_terms(found, documents, text)
     risky = stage(beyond.select("term").distinct(), "risky-terms")
-    return stage(holders.join(_sent(risky), "term").groupBy("text_hash").agg(F.collect_set("term").alias("terms")), "term-sets")
+    return stage(holders.join(risky, "term").groupBy("text_hash").agg(F.collect_set("term").alias("terms")), "term-sets")
 
 
 def _term_spans(text: Column, terms: Column, base: Column) -> Column:
     """Spans of the words among ``terms`` that touch no base span."""
+    def apart(chosen: Column) -> Column:
+        # words at their ends and base spans at their starts in one order, words first: a word
+        # is free if no base span that starts before its end reaches beyond its start
+        marks = F.sort_array(F.concat(
+            F.transform(chosen, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("base"), s["start"].alias("other"))),
+            F.transform(base, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("base"), s["end"].alias("other"))),
+        ))
+
+        def free(marks: Column) -> Column:
+            reach = running_maxima(F.transform(marks, lambda m: F.when(m["base"] == 1, m["other"]).otherwise(0)))
+            marked = F.zip_with(marks, reach, lambda m, r: F.struct(m["at"].alias("end"), m["base"].alias("base"), m["other"].alias("start"), r.alias("reach")))
+            words = F.filter(marked, lambda m: (m["base"] == 0) & (m["reach"] <= m["start"]))
+            return F.transform(words, lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+
+        return let(marks, free)
+
     chosen = _occurrences(text, "term", WORDS, lambda word: F.array_contains(terms, F.lower(word)))
-    free = F.filter(chosen, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.when(terms.isNotNull(), F.transform(free, lambda s: F.struct(s["kind"], s["start"], s["end"]))).otherwise(F.array().cast(_SPANS))
+    return F.when(terms.isNotNull(), let(chosen, apart)).otherwise(F.array().cast(_SPANS))
 
 
 def _keyed(spans: Column) -> Column:
@@ -189,11 +211,12 @@ def personal_data(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     found = _find_base(documents, doc_id, text)
     sets = _term_sets(found, documents, text)
-    risky = _text_rows(documents, doc_id, text).select("text_hash", "text").join(_sent(sets), "text_hash")
+    rows = possible(_text_rows(documents, doc_id, text).select("text_hash", "text"), [F.col("text_hash")], sets.select("text_hash"))
+    risky = rows.groupBy("text_hash").agg(F.first("text").alias("text")).join(sets, "text_hash")  # a text once, however many copies
     spans = risky.select("text_hash", "text", F.col("terms").alias("words")).withColumn("base", base_spans("text")).select(
         "text_hash", _term_spans(F.col("text"), F.col("words"), F.col("base")).alias("terms")
-    ).dropDuplicates(["text_hash"])
-    return found.drop("entities").join(_sent(stage(spans, "term-spans")), "text_hash", "left").select(
+    )
+    return found.drop("entities").join(stage(spans, "term-spans"), "text_hash", "left").select(
         "doc_id", "base", F.coalesce("terms", F.array().cast(_SPANS)).alias("terms")
     )
 
@@ -211,32 +234,34 @@ def digest_rows(documents: DataFrame) -> DataFrame:
 
 def _replaced(text: Column, spans: Column) -> Column:
     """The text with every run of overlapping spans replaced by the name of its first span's kind."""
-    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    def joined(ordered: Column) -> Column:
+        reach = running_maxima(F.transform(ordered, lambda s: s["end"]))
+        last = F.array_max(F.transform(ordered, lambda s: s["end"]))
+
+        def of(cut: Column) -> Column:
+            pieces = F.zip_with(ordered, reach, lambda s, at: F.when(
+                s["start"] >= at, F.concat(part(cut, at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+            return F.concat(F.array_join(pieces, ""), part(cut, last, F.length(text)))
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        piece = F.concat(
-            F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]")
-        )
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(apart, F.concat(acc["pieces"], F.array(piece))).otherwise(acc["pieces"]).alias("pieces"),
-        )
+        return let(chunks(text), of)
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
-    rest = lambda acc: F.concat(F.array_join(acc["pieces"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.aggregate(ordered, zero, step, rest)
+    return let(F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"]))), joined)
 
 
 def sanitise(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with personal data replaced by ``[EMAIL]``, ``[IP]``, ``[CARD]``, ``[PHONE]`` and ``[TERM]``.
 
-    Columns as they came; a text without a span is left as it is, null included.  Only
-    the terms of the texts that hold some are joined back.
+    Columns as they came; a text without a span is left as it is, null included.  Texts
+    without terms to generalise are not moved; those that may have some are joined with
+    them by the hash of the text, where Spark splits the copies of a frequent one.
     """
     sets = _term_sets(_find_base(documents, doc_id, text), documents, text)
-    row = documents.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"))
-    joined = row.join(_sent(sets), "text_hash", "left").withColumn("found", base_spans("text"))
+    own = [F.xxhash64(F.col(text).cast("string"))]
+    sure, unsure = split_by_slot(documents, own, sets.select("text_hash"))
+    rows = unsure.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"), own[0].alias("text_hash"))
+    none = F.lit(None).cast("array<string>").alias("terms")
+    alone = sure.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"), none)
+    joined = alone.union(rows.join(sets, "text_hash", "left").select("row", "text", "terms")).withColumn("found", base_spans("text"))
     base = F.transform("found", lambda s: F.struct(s["kind"], s["start"], s["end"]))
     spans = joined.withColumn("spans", F.concat(base, _term_spans(F.col("text"), F.col("terms"), F.col("found"))))
     clean = F.when(F.size("spans") > 0, _replaced(F.col("text"), F.col("spans"))).otherwise(F.col("text"))

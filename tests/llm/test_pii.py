@@ -54,8 +54,9 @@ def test_disclosing_terms_against_brute_force(spark):
         for kind, a, b in brute.base_spans(t):
             entity = (kind, re.sub("[^0-9]", "", t[a:b]) if kind in ("card", "phone") else t[a:b].lower())
             holders.setdefault(entity, set()).add(t)
-            for w in re.findall(r"[^\W\d_]{3,}", (t[max(0, a - op.REACH) : a] + "\n" + t[b : b + op.REACH]).lower()):
-                pairs.setdefault((entity, w), set()).add(t)
+            for m in re.finditer(r"[^\W\d_]+", t):  # whole words only
+                if len(m[0]) >= 3 and (a - op.REACH <= m.start() and m.end() <= a or b <= m.start() and m.end() <= b + op.REACH):
+                    pairs.setdefault((entity, m[0].lower()), set()).add(t)
     risky = set()
     for (entity, w), both in pairs.items():
         if len(both) >= op.SUPPORT:
@@ -74,3 +75,25 @@ def test_disclosing_terms_against_brute_force(spark):
         assert got[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in base + terms)
     clean = {r.doc_id: r.text for r in op.sanitise(docs).collect()}
     assert "[EMAIL]" in clean[0] and "uux" not in clean[0] and clean[9] == texts[9] and clean[8] == texts[8].replace("Quux", "[TERM]")
+
+
+def test_edges_of_longer_words_are_no_terms(spark):
+    """A name that is also what the reach leaves of longer words beside other entities."""
+    far = "x" * (op.REACH - 5)
+    texts = [f"{i} ana rq@mail.example end" for i in range(6)]
+    texts += [f"{i} banana {far} u{i}@mail.example {far} anatomy and so on" for i in range(40)]
+    texts += [f"only words {i}" for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = op._find_base(docs, "doc_id", "text")
+    beside = {t for r in found.collect() for e in r.entities for t in e.terms}
+    assert "ana" in beside and not beside & {"banana", "anatomy", "nana", "anat"}
+    assert "ana" in {r.term for r in op.disclosing_terms(found, docs)[0].collect()}
+    cut = spark.createDataFrame([(1, "ÉÉÉÉabc@d.eeééé ok fine")], "doc_id long, text string")
+    assert op._find_base(cut, "doc_id", "text").first().entities[0].terms == ["fine"]
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"a{i}@b.c, word 10.0.{i % 256}.1;" for i in range(12000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert tuple(op.digest_rows(docs).first())[1:6] == brute.pii_row(text)
+    assert op.sanitise(docs).first().text == " ".join("[EMAIL], word [IP];" for _ in range(12000))
