@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,18 @@ def together(rows: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterat
         yield pa.concat_batches(held)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside hands ``rows`` rows to Python at once: for wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def crc_mod(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo ``n``; a null key counts as an empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")) % n

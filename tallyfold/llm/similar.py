@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import mix, stage, together
+from .common import batches_of, mix, stage, together
 from .components import components
 from .keys import split_by_slot
 
@@ -40,6 +40,7 @@ ROWS, BANDS = 4, 20
 RADIUS = 24  # the threshold gives ten bits, with a deviation of three
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
+WIDE_ROWS = 500  # rows with shingle sets that a task holds at once
 STEP = 1 << 12  # shingles that are hashed by all functions at once
 
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
@@ -81,11 +82,14 @@ def _sketches(documents: DataFrame, text: str) -> DataFrame:
             seen: dict[int, int] = {}
             for i, h in enumerate(batch.column(0).to_pylist()):
                 seen.setdefault(h, i)  # copies within a batch are one text
-            sets = [shingles(batch.column(1)[i].as_py()) for i in seen.values()]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(seen.keys(), pa.int64()), pa.array(np.array([simhash.fingerprint(s) for s in sets], np.uint64).view(np.int64)),
-                pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64())),
-            ], names=["text_hash", "fp", "n", "keys"])
+            fps, sizes, keys = np.zeros(len(seen), np.uint64), np.zeros(len(seen), np.int64), np.zeros((len(seen), BANDS), np.uint64)
+            for at, i in enumerate(seen.values()):
+                own = shingles(batch.column(1)[i].as_py())
+                fps[at], sizes[at], keys[at] = simhash.fingerprint(own), len(own), band_keys(own)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(seen.keys(), pa.int64()), pa.array(fps.view(np.int64)), pa.array(sizes), flat], names=["text_hash", "fp", "n", "keys"]
+            )
 
     own = F.col(text).cast("string")
     found = documents.select(F.xxhash64(own).alias("text_hash"), own.alias("text")).mapInArrow(scan, "text_hash long, fp long, n long, keys array<long>")
@@ -251,9 +255,12 @@ def links(documents: DataFrame, text: str = "text") -> DataFrame:
     """``left, right`` hashes of similar texts: enough of the pairs to join every group."""
     members = _members(_sketches(documents, text))
     sets = _shingle_sets(documents, text, members)
-    found = stage(_verified(stage(_stars(members), "star-pairs"), sets), "star-links")
+    pairs = stage(_stars(members), "star-pairs")
+    with batches_of(documents.sparkSession, WIDE_ROWS):
+        found = stage(_verified(pairs, sets), "star-links")
     grouped = stage(_rooted(members, components(found, "left", "right")), "grouped-members")
-    return found.union(stage(_rest(grouped, sets), "other-links"))
+    with batches_of(documents.sparkSession, WIDE_ROWS):
+        return found.union(stage(_rest(grouped, sets), "other-links"))
 
 
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
