@@ -199,17 +199,21 @@ def signature(zones: list[int], texts: list[str]) -> int:
     return int(grams.min()) - (1 << 63) if len(grams) else 0
 
 
-def _segments(tokens: list[str], host: int) -> Iterator[tuple[int, int, int]]:
-    """Anchor, first window and number of windows of the segments of a stream."""
+def _placed(zones: list[int], texts: list[str], host: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the segments of a page's stream: anchor, first window, number of windows, and whether a token is outside chrome."""
+    tokens = _stream(texts)
     if len(tokens) < RUN:
-        return
-    ids = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in tokens), np.uint64, len(tokens))
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
     pairs = gram_hashes(ids, 2)
     packed = (pairs >> np.uint64(32) << np.uint64(32)) | np.arange(len(pairs), dtype=np.uint64)
     place = (sliding_min(packed, RUN - 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    count = np.diff(np.append(first, len(place)))
     anchors = mix(pairs[place[first]] + np.uint64(host & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-    yield from zip(anchors.tolist(), first.tolist(), np.diff(np.append(first, len(place))).tolist(), strict=True)
+    sizes = np.array([t.count(" ") + 1 for t in texts], np.int64)
+    outside = np.concatenate(([0], np.cumsum(np.repeat(np.array(zones) != CHROME, sizes))))
+    return anchors, first, count, outside[first + count + RUN - 1] > outside[first]
 
 
 def _shard_runs(pieces: list[list[str]], pages: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -254,38 +258,39 @@ def _shard_runs(pieces: list[list[str]], pages: np.ndarray, anchors: np.ndarray)
 _SEGMENT = "anchor long, body string, _key long, host long, sig long, start long, n long, own int, open boolean"
 
 
-def _common_anchors(parsed: DataFrame) -> np.ndarray:
-    """Bits of the anchors that stand on ``LEAST_PAGES`` pages or more, and outside chrome on one of them."""
+def _common_anchors(parsed: DataFrame, hosts: DataFrame) -> np.ndarray:
+    """Bits of the anchors on enough pages of their host, and outside chrome on one of them.
+
+    No window of an anchor is on more pages than the anchor is.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[int, list] = {}
+            found = []
             for host, zones, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for anchor, is_open in {a: o for a, *_, o in sorted(_placed(zones, texts, host), key=lambda x: x[3])}.items():
-                    state = counts.setdefault(anchor, [0, False])
-                    state[0] += 1
-                    state[1] |= is_open
-            values = list(counts.values())
+                anchors, _, _, outside = _placed(zones, texts, host)
+                own, at = np.unique(anchors, return_inverse=True)  # a page counts once
+                found.append((own, np.full(len(own), host), np.bincount(at, outside, len(own)) > 0 if len(own) else np.zeros(0, bool)))
+            if not found:
+                continue
+            anchors, of, outside = (np.concatenate(x) for x in zip(*found, strict=True))
+            names, first, at, n = np.unique(anchors, return_index=True, return_inverse=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(counts.keys(), pa.int64()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.bool_())],
-                names=["anchor", "n", "open"],
+                [pa.array(names), pa.array(of[first]), pa.array(n), pa.array(np.bincount(at, outside, len(names)) > 0 if len(names) else np.zeros(0, bool))],
+                names=["anchor", "host", "n", "open"],
             )
 
-    found = parsed.select("host", "zones", "texts").mapInArrow(scan, "anchor long, n long, open boolean")
-    common = found.groupBy("anchor").agg(F.sum("n").alias("n"), F.max("open").alias("open")).filter((F.col("n") >= LEAST_PAGES) & F.col("open"))
+    found = parsed.select("host", "zones", "texts").mapInArrow(scan, "anchor long, host long, n long, open boolean")
+    common = found.groupBy("anchor", "host").agg(F.sum("n").alias("n"), F.max("open").alias("open")).filter((F.col("n") >= LEAST_PAGES) & F.col("open"))
+    common = common.join(hosts, "host").filter(F.col("n") >= F.col("all") * SHARE - 1e-6)
     return bitmap(common.select(F.col("anchor").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).alias("slot")), "slot")
 
 
-def _placed(zones: list[int], texts: list[str], host: int) -> Iterator[tuple[int, int, int, bool]]:
-    """Anchor, first window, number of windows of a page's segments, and whether a token of them is outside chrome."""
-    outside = np.concatenate(([0], np.cumsum([z != CHROME for z, t in zip(zones, texts, strict=True) for _ in range(t.count(" ") + 1)])))
-    for anchor, start, n in _segments(_stream(texts), host):
-        yield anchor, start, n, bool(outside[start + n + RUN - 1] > outside[start])
-
-
 def _boilerplate(parsed: DataFrame) -> DataFrame:
     """``_page, spans``: runs of windows (start, n) of the pages' streams that enough other pages of their hosts share."""
-    sent = parsed.sparkSession.sparkContext.broadcast(_common_anchors(parsed))
+    groups = stage(parsed.groupBy("host", "sig").agg(F.count("*").alias("alike")), "like-pages")
+    hosts = stage(groups.groupBy("host").agg(F.count("*").alias("all")), "host-votes")
+    sent = parsed.sparkSession.sparkContext.broadcast(_common_anchors(parsed, hosts))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
@@ -293,12 +298,15 @@ def _boilerplate(parsed: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for page, host, sig, zones, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                placed = _placed(zones, texts, host)
+                common = np.flatnonzero(has(bits, placed[0] & ((1 << SLOT_BITS) - 1)))
+                if not len(common):
+                    continue
                 tokens, within = _stream(texts), Counter()
-                for anchor, start, n, is_open in _placed(zones, texts, host):
-                    if has(bits, np.array([anchor & ((1 << SLOT_BITS) - 1)]))[0]:
-                        body = tokens[start : start + n + RUN - 1]
-                        rows.append((anchor, " ".join(body), page, host, sig, start, n, 1, is_open))
-                        within.update({(anchor, " ".join(body[i : i + RUN])) for i in range(n)})
+                for anchor, start, n, outside in zip(*(x[common].tolist() for x in placed), strict=True):
+                    body = tokens[start : start + n + RUN - 1]
+                    rows.append((anchor, " ".join(body), page, host, sig, start, n, 1, outside))
+                    within.update({(anchor, " ".join(body[i : i + RUN])) for i in range(n)})
                 # a page has one vote for a window: further segments with it are taken back
                 rows += [(anchor, window, page, host, sig, -1, 1, 1 - times, False) for (anchor, window), times in within.items() if times > 1]
             columns = list(zip(*rows, strict=True)) or [()] * 9
@@ -331,8 +339,6 @@ def _boilerplate(parsed: DataFrame) -> DataFrame:
             yield from flush(held)
 
     found = stage(parsed.select("_key", "host", "sig", "zones", "texts").mapInArrow(cut, _SEGMENT), "segments")
-    groups = stage(parsed.groupBy("host", "sig").agg(F.count("*").alias("alike")), "like-pages")
-    hosts = groups.groupBy("host").agg(F.count("*").alias("all"))
     # pages with the same signature share one vote
     weighed = found.join(groups.filter("alike > 1"), ["host", "sig"], "left")
     bodies = weighed.groupBy("anchor", "body").agg(F.sum(F.col("own") / F.coalesce("alike", F.lit(1))).alias("pages"), F.first("host").alias("host"))
