@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_values, gram_hashes, mix, prefix_sums, runs, sliding_min, span_hashes, stage
+from .common import batches_of, blocks, byte_values, gram_hashes, mix, prefix_sums, runs, sliding_min, span_hashes, stage
 from .keys import SLOT_BITS, bitmap, has, matching, split_by_slot
 
 WINDOW = 13
 GRAM = 5
+TEXTS = 1000  # that a task holds at once
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
@@ -143,9 +144,10 @@ def contamination(
         F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"),
         F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"),
     )
-    scanned = stage(
-        picked.mapInArrow(scan, f"_row long, doc_id {id_type}, text_hash long, n_words long, hits {_HIT}"), "doc-windows"
-    )
+    with batches_of(documents.sparkSession, TEXTS):
+        scanned = stage(
+            picked.mapInArrow(scan, f"_row long, doc_id {id_type}, text_hash long, n_words long, hits {_HIT}"), "doc-windows"
+        )
     owners = windows.groupBy("digest").agg(F.collect_set("item").alias("items"))
     real = (
         scanned.select("_row", F.explode("hits").alias("hit"))

@@ -38,9 +38,9 @@ SHINGLE = 5
 LEAST = 0.8
 ROWS, BANDS = 4, 20
 RADIUS = 24  # the threshold gives ten bits, with a deviation of three
-BLOCK = 512
+BLOCK = 256
 BLOCK_SHINGLES = 1 << 20
-WIDE_ROWS = 500  # rows with shingle sets that a task holds at once
+WIDE_ROWS = 500  # texts or shingle sets that a task holds at once
 STEP = 1 << 12  # shingles that are hashed by all functions at once
 
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
@@ -253,13 +253,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(documents: DataFrame, text: str = "text") -> DataFrame:
     """``left, right`` hashes of similar texts: enough of the pairs to join every group."""
-    members = _members(_sketches(documents, text))
-    sets = _shingle_sets(documents, text, members)
-    pairs = stage(_stars(members), "star-pairs")
-    with batches_of(documents.sparkSession, WIDE_ROWS):
-        found = stage(_verified(pairs, sets), "star-links")
-    grouped = stage(_rooted(members, components(found, "left", "right")), "grouped-members")
     with batches_of(documents.sparkSession, WIDE_ROWS):
+        members = _members(_sketches(documents, text))
+        sets = _shingle_sets(documents, text, members)
+        found = stage(_verified(stage(_stars(members), "star-pairs"), sets), "star-links")
+        grouped = stage(_rooted(members, components(found, "left", "right")), "grouped-members")
         return found.union(stage(_rest(grouped, sets), "other-links"))
 
 
