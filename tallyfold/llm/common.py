@@ -19,14 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the session's shared folder and give what was written.
+def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+    """Write ``df`` to the session's shared folder and give what was written; ``codec`` is for tables with texts.
 
     Lineage ends there: a lost executor costs its tasks and not what went before,
     and a row id made before the write is the same for every later reader.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(until_exit(df.sparkSession, path))
 
 

@@ -387,7 +387,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     )
     parsed = stage(picked.mapInArrow(
         parse, f"_key long, page_id {id_type}, url string, host long, sig long, zones array<tinyint>, texts array<string>"
-    ), "pages")
+    ), "pages", "zstd")
     spans = stage(_boilerplate(parsed), "boilerplate")
     sure, unsure = split_by_slot(parsed, [F.col("_key")], spans.select("_page"))
     columns = ["page_id", "url", "zones", "texts"]
