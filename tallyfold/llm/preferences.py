@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import let, running_sums
+
 OPEN, CLOSE, ASSISTANT = "<|{}|>\n", "<|end|>\n", "assistant"
 
 def _safe(text: Column) -> Column:
@@ -35,16 +37,16 @@ def _rendered(turns: Column) -> Column:
 
 def _mask(turns: Column) -> Column:
     """Spans (start, end) in code points of what the assistant says in the rendered turns."""
+    sizes = F.transform(turns, lambda t: F.struct(
+        (t["role"] == ASSISTANT).alias("trained"), F.length(_opening(t)).alias("opening"), F.length(_body(t)).alias("body")))
 
-    def step(acc: Column, turn: Column) -> Column:
-        start = acc["at"] + F.length(_opening(turn))
-        end = start + F.length(_body(turn))
-        span = F.struct(start.alias("start"), end.alias("end"))
-        more = F.when(turn["role"] == ASSISTANT, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), more.alias("spans"))
+    def spans(sizes: Column) -> Column:
+        before = running_sums(F.transform(sizes, lambda s: s["opening"] + s["body"]))
+        placed = F.zip_with(sizes, before, lambda s, at: F.struct(
+            (at + s["opening"]).alias("start"), (at + s["opening"] + s["body"]).alias("end"), s["trained"].alias("trained")))
+        return F.transform(F.filter(placed, lambda s: s["trained"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    return F.aggregate(turns, zero, step, lambda acc: acc["spans"])
+    return let(sizes, spans)
 
 
 def preference_pairs(
