@@ -8,7 +8,8 @@ winner is than the next is the margin; below ``min_margin`` the text is rejected
 with more training texts.
 
 Dictionaries are fitted on a bounded sample: per language the ``SAMPLE`` training texts
-with the least hash of their id, and of these as many bytes as ``DICTIONARY_BYTES`` takes.
+with the least hash of their id, and of these, in that order, every one that still fits
+into ``DICTIONARY_BYTES``.  If none does, the first is taken in stretches spread over it.
 All texts are classified, whole, in one pass without a shuffle.
 """
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -29,6 +30,7 @@ from .common import crc_mod
 UNKNOWN = "und"
 SAMPLE = 200
 DICTIONARY_BYTES = 200_000
+PIECES = 20
 LEVEL = 6
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -39,6 +41,14 @@ def plain(text: str) -> bytes:
     return " ".join(_WORDS.findall(text.lower())).encode()
 
 
+def _within(text: Column) -> Column:
+    """The text, or if it is longer than a dictionary ``PIECES`` stretches spread over all of it."""
+    size = DICTIONARY_BYTES // (4 * PIECES)  # a character has four bytes at most
+    step = (F.length(text) - size) / (PIECES - 1)
+    stretches = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.octet_length(text) <= DICTIONARY_BYTES, text).otherwise(F.array_join(stretches, " "))
+
+
 def learn(documents: DataFrame, lang: str = "lang", text: str = "text", order: str = "doc_id") -> dict[str, bytes]:
     """A dictionary of training bytes per language, from rows with text and language, commonest language first.
 
@@ -50,12 +60,23 @@ def learn(documents: DataFrame, lang: str = "lang", text: str = "text", order: s
     ).withColumn("same", F.xxhash64("text"))
     by_place = Window.partitionBy("lang").orderBy("place", "same")
     ranked = own.select("lang", "place", "same", F.octet_length("text").alias("size")).withColumn("rank", F.row_number().over(by_place))
-    # whole texts from the start of the ranking while they fit; the first one in any case
-    kept = ranked.filter(F.col("rank") <= SAMPLE).withColumn("bytes", F.sum("size").over(Window.partitionBy("lang").orderBy("rank")))
-    kept = kept.filter((F.col("bytes") <= DICTIONARY_BYTES) | (F.col("rank") == 1)).drop("size", "bytes")
+    # whole texts in the order of the ranking, those that fit into what is left; SAMPLE numbers per language
+    sample = ranked.filter(F.col("rank") <= SAMPLE).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "size", "place", "same"))).alias("texts"))
+    zero = F.struct(F.lit(0).cast("long").alias("bytes"), F.array().cast("array<int>").alias("ranks"))
+
+    def take(state: Column, t: Column) -> Column:
+        fits = state["bytes"] + t["size"] <= DICTIONARY_BYTES
+        return F.struct(
+            F.when(fits, state["bytes"] + t["size"]).otherwise(state["bytes"]).alias("bytes"),
+            F.when(fits, F.concat(state["ranks"], F.array(t["rank"]))).otherwise(state["ranks"]).alias("ranks"),
+        )
+
+    chosen = sample.withColumn("ranks", F.aggregate("texts", zero, take)["ranks"])
+    chosen = chosen.withColumn("ranks", F.when(F.size("ranks") > 0, F.col("ranks")).otherwise(F.array(F.lit(1))))  # none fits: the first, in pieces
+    kept = chosen.select("lang", F.explode(F.filter("texts", lambda t: F.array_contains("ranks", t["rank"]))).alias("t")).select("lang", "t.rank", "t.place", "t.same")
     rows = own.join(F.broadcast(kept), ["lang", "place", "same"])  # at most SAMPLE rows of numbers per language
     texts: dict[str, list[bytes]] = {}
-    for row in rows.orderBy("lang", F.desc("rank")).select("lang", F.substring("text", 1, DICTIONARY_BYTES).alias("text")).toLocalIterator():
+    for row in rows.orderBy("lang", F.desc("rank")).select("lang", _within(F.col("text")).alias("text")).toLocalIterator():
         texts.setdefault(row.lang, []).append(plain(row.text))
     counts = {row.lang: row["count"] for row in own.groupBy("lang").count().collect()}  # one row per language
     return {name: b"\n".join(texts[name]) for name in sorted(texts, key=lambda name: (-counts[name], name))}

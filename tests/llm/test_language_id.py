@@ -1,4 +1,9 @@
+import re
 import zlib
+from collections import Counter
+
+import zstandard
+from pyspark.sql import functions as F
 
 from tallyfold.llm import language_id as op
 
@@ -30,3 +35,46 @@ def test_nulls_ties_empty_tables(spark):
     assert op.identify(docs.limit(0), dictionaries).count() == 0 and op.learn(docs.limit(0)) == {}
     assert {r.lang_pred for r in op.identify(docs, {}).collect()} == {"und"}
     assert {r.lang_pred for r in op.identify(docs.filter("doc_id = 9"), {"en": b"abc"}).collect()} == {"en"}
+
+
+def test_query_against_plain_compression(spark, sf_dir):
+    """Dictionaries of the documented sample, one compressor call per text and language."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r for r in op.digest_rows(docs).collect()}
+    rows = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("place")).collect()
+    train = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None and r.text]
+    samples, counts = {}, Counter(r.lang for r in train)
+    for lang in counts:
+        left, texts = op.DICTIONARY_BYTES, []
+        for r in sorted((r for r in train if r.lang == lang), key=lambda r: r.place)[: op.SAMPLE]:
+            if len(r.text.encode()) <= left:
+                left -= len(r.text.encode())
+                texts.insert(0, " ".join(re.findall(r"[^\W\d_]+", r.text.lower())).encode())
+        samples[lang] = b"\n".join(texts)
+    order = sorted(samples, key=lambda lang: (-counts[lang], lang))
+    for r in rows:
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        data = " ".join(re.findall(r"[^\W\d_]+", r.text.lower())).encode()
+        sizes = []
+        for lang in order:
+            known = zstandard.ZstdCompressionDict(samples[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes.append(len(zstandard.ZstdCompressor(op.LEVEL, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False).compress(data)))
+        best = sizes.index(min(sizes))
+        assert got[r.doc_id].lang_pred == order[best]
+        assert abs(got[r.doc_id].score - (1 - min(sizes) / min(sizes[:best] + sizes[best + 1 :]))) < 1e-12
+
+
+def test_texts_that_do_not_fit_are_passed_over(spark, monkeypatch):
+    monkeypatch.setattr(op, "DICTIONARY_BYTES", 100)
+    rows = [(i, "ab" * n, "x") for i, n in enumerate((30, 60, 10, 45, 5))] + [(9, "".join(f"{i}q" for i in range(300)), "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    order = [r.doc_id for r in docs.filter("lang = 'x'").orderBy(F.xxhash64("doc_id")).collect()]
+    left, want = 100, []
+    for i in order:
+        if len(rows[i][1]) <= left:
+            left -= len(rows[i][1])
+            want.insert(0, rows[i][1].encode())
+    found = op.learn(docs)
+    assert found["x"] == b"\n".join(want) and 0 < len(found["long"]) <= 100
