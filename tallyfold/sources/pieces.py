@@ -1,33 +1,38 @@
-"""Files of any size as numbered pieces: a data source that plans byte ranges itself.
+"""Files of any size as numbered pieces, read by tasks that are planned as byte ranges.
 
 A file is cut every ``piece_bytes``, and every cut is moved forward to the next place where
 the text may be cut.  Both pieces at a cut find that place by the same rule from the same
 bytes, so pieces neither overlap nor leave anything out, and no task needs another's work.
-Small files share a task.  Only names and sizes pass through the planning of the source,
-as in any file listing, and no cell ever holds a whole large file.
+Small files share a task, and so do small pieces: what a task holds depends on all bytes to
+read, so the number of tasks does not follow the size of a piece.  Only names and sizes pass
+through the planning, as in any file listing, and no cell ever holds a whole large file.
 
 Files are read through Arrow's file systems (local, hdfs, s3, gs).
 """
 
 from __future__ import annotations
 
-import json
+import pickle
 import posixpath
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from fnmatch import fnmatchcase
 from functools import cache
+from itertools import groupby
 from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PIECE_BYTES = 64 << 20
 CUTS = ("bytes", "chars", "words", "lines", "never")
-LOOK = 1 << 16  # bytes that are read at once to find the place of a cut
+LOOK = 1 << 16  # bytes that are read at once, at most, to find the place of a cut
+FIRST_LOOK = 1 << 8  # and at first: most places are near
+TASK_BYTES = 16 << 20  # that small pieces are put together to, at most
+LEAST_TASK = 1 << 20  # and at least, as a task has its own cost
+BATCH_BYTES = 4 << 20  # of rows that are handed on at once
 LARGEST_CELL = (1 << 31) - 1
 OPEN_COST = 1 << 16  # what opening a file counts for when small ones are put together
 _GLOB = re.compile(r"[*?\[]")
@@ -129,6 +134,27 @@ def planned(files: list[tuple[str, int]], piece_bytes: int, whole: bool) -> list
     return tasks + ([together] if together else [])
 
 
+def gathered(tasks: list[list[Piece]], task_bytes: int) -> list[list[Piece]]:
+    """Neighbouring tasks put together to about ``task_bytes``; the pieces and their order stay."""
+    found: list[list[Piece]] = []
+    held = 0
+    for task in tasks:
+        cost = sum(max(p.end - p.start, OPEN_COST) for p in task)
+        if not found or held + cost > task_bytes:
+            found.append([])
+            held = 0
+        found[-1].extend(task)
+        held += cost
+    return found
+
+
+def tasks_of(spark: SparkSession, path: str | Sequence[str], piece_bytes: int, whole: bool = False) -> list[list[Piece]]:
+    """The pieces of every task: as many tasks as shuffle partitions if these then hold ``LEAST_TASK`` to ``TASK_BYTES``."""
+    files = listed([path] if isinstance(path, str) else path)
+    share = sum(size for _, size in files) // int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return gathered(planned(files, piece_bytes, whole), max(piece_bytes, min(TASK_BYTES, max(LEAST_TASK, share))))
+
+
 # --- cuts ---------------------------------------------------------------------------
 
 
@@ -160,10 +186,11 @@ def cut_place(file: pa.NativeFile, at: int, size: int, rule: str) -> int:
     """
     if at <= 0 or at >= size or rule == "bytes":
         return min(max(at, 0), size)
-    allowed, place, run = _RULES[rule], at, 0
+    allowed, place, run, look = _RULES[rule], at, 0, FIRST_LOOK
     before = file.read_at(1, at - 1)[0]
     while place < size:
-        block = file.read_at(min(LOOK, size - place), place)
+        block = file.read_at(min(look, size - place), place)
+        look = min(4 * look, LOOK)
         if rule == "lines" and before != 10:
             found = block.find(b"\n")
             if found < 0:
@@ -178,60 +205,68 @@ def cut_place(file: pa.NativeFile, at: int, size: int, rule: str) -> int:
     return size
 
 
-class FilePieces(DataSource):
-    """``spark.read.format("file_pieces")``; options ``paths`` (a JSON list), ``piece_bytes``, ``cut`` and ``want``.
-
-    ``want`` is ``content``, or ``quotes`` for the number of double quotes instead.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "file_pieces"
-
-    def schema(self) -> str:
-        value = "quotes BIGINT" if self.options.get("want") == "quotes" else "content BINARY"
-        return f"path STRING, piece INT, start BIGINT, end BIGINT, size BIGINT, {value}"
-
-    def reader(self, schema: object) -> DataSourceReader:
-        return _PieceReader(dict(self.options))
-
-
-class _PieceReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.paths = json.loads(options["paths"])
-        self.piece_bytes = int(options.get("piece_bytes", PIECE_BYTES))
-        self.cut = options.get("cut", "chars")
-        self.quotes = options.get("want") == "quotes"
-
-    def partitions(self) -> Sequence[InputPartition]:
-        return [InputPartition(task) for task in planned(listed(self.paths), self.piece_bytes, self.cut == "never")]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for piece in map(Piece._make, partition.value):
-            store, path, _ = locate(piece.path)
-            if piece.end - piece.start > LARGEST_CELL:
-                raise ValueError(f"{piece.path} has {piece.size} bytes, too many for one cell; read it in pieces")
-            with store.open_input_file(path) as file:
-                rule = "bytes" if self.cut == "never" else self.cut
-                start, end = (cut_place(file, at, piece.size, rule) for at in (piece.start, piece.end))
-                if start < end or piece.size == 0:
-                    content = file.read_at(end - start, start)
-                    value = content.count(b'"') if self.quotes else content
-                    yield piece.path, piece.piece, start, end, piece.size, value
+def _rows_of(task: list[Piece], cut: str, quotes: bool) -> Iterator[tuple]:
+    """The rows of a task's pieces; a cut between two of them is looked for once, and a file is opened once."""
+    rule = "bytes" if cut == "never" else cut
+    for address, pieces in groupby(task, key=lambda p: p.path):
+        store, path, _ = locate(address)
+        with store.open_input_file(path) as file:
+            asked = place = -1
+            for piece in pieces:
+                if piece.end - piece.start > LARGEST_CELL:
+                    raise ValueError(f"{piece.path} has {piece.size} bytes, too many for one cell; read it in pieces")
+                start = place if asked == piece.start else cut_place(file, piece.start, piece.size, rule)
+                asked, place = piece.end, cut_place(file, piece.end, piece.size, rule)
+                if start < place or piece.size == 0:
+                    content = file.read_at(place - start, start)
+                    value = content.count(b'"') if quotes else content
+                    yield piece.path, piece.piece, start, place, piece.size, value
+
+
+def _reader(plans: list[bytes], cut: str, quotes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["path", "piece", "start", "end", "size", "value"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64() if quotes else pa.binary()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for numbers in batches:
+            for number in numbers.column(0).to_pylist():
+                rows, held = [], 0
+                for row in _rows_of([*map(Piece._make, pickle.loads(plans[number]))], cut, quotes):
+                    cost = 64 if quotes else len(row[-1]) + 64
+                    if rows and held + cost > BATCH_BYTES:
+                        yield batch(rows)
+                        rows, held = [], 0
+                    rows.append(row)
+                    held += cost
+                if rows:
+                    yield batch(rows)
+
+    return read
 
 
 def file_pieces(
     spark: SparkSession, path: str | Sequence[str], piece_bytes: int = PIECE_BYTES, cut: str = "chars", want: str = "content"
 ) -> DataFrame:
-    """The source's rows: ``path, piece, start, end, size`` and ``content`` (bytes) or ``quotes``."""
+    """``path, piece, start, end, size`` and ``content`` (bytes) of every piece, or with ``want="quotes"`` the number of its double quotes.
+
+    The files are listed now.  A plan that reads these rows more than once can share what
+    it shuffles of them: the rows come out of one function, and equal plans compare equal.
+    """
     if cut not in CUTS:
         raise ValueError(f"cut must be one of {CUTS}, not {cut!r}")
     if piece_bytes < 1:
         raise ValueError(f"a piece needs a byte at least, not {piece_bytes}")
-    spark.dataSource.register(FilePieces)
-    paths = [path] if isinstance(path, str) else list(path)
-    reader = spark.read.format("file_pieces").option("paths", json.dumps(paths))
-    return reader.option("piece_bytes", piece_bytes).option("cut", cut).option("want", want).load()
+    tasks = tasks_of(spark, path, piece_bytes, cut == "never")
+    plans = [pickle.dumps([tuple(p) for p in task]) for task in tasks]  # a task unpacks its own only
+    value = "quotes" if want == "quotes" else "content"
+    found = spark.range(0, len(tasks), 1, max(1, len(tasks))).mapInArrow(
+        _reader(plans, cut, want == "quotes"),
+        f"path string, piece int, start bigint, end bigint, size bigint, value {'bigint' if want == 'quotes' else 'binary'}",
+    )
+    return found.withColumnRenamed("value", value)
 
 
 def read_file_pieces(

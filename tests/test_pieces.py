@@ -64,6 +64,34 @@ def test_planning():
     assert [len(t) for t in source.planned([(f"f{i}", 10) for i in range(5)], 2 * source.OPEN_COST, whole=True)] == [2, 2, 1]
 
 
+def test_small_pieces_share_tasks():
+    files = [("a", 10 * source.OPEN_COST), ("b", 3 * source.OPEN_COST), ("c", 5)]
+    tasks = source.planned(files, source.OPEN_COST, whole=False)
+    got = source.gathered(tasks, 4 * source.OPEN_COST)
+    assert [p for t in got for p in t] == [p for t in tasks for p in t] and [len(t) for t in got] == [4, 4, 4, 2]
+    assert source.gathered(tasks, 1) == tasks and source.gathered([], 9) == []
+
+
+def test_tasks_follow_the_bytes_and_not_the_pieces(spark, folder):
+    path = folder(a="ab cd\n" * 2000)
+    got = read_file_pieces(spark, path, 1000).select("piece", F.spark_partition_id().alias("task")).collect()
+    assert len(got) == 12 and len({r.task for r in got}) == 1
+
+
+def test_two_readers_of_counts_read_pieces_once(spark, folder, monkeypatch):
+    """Counts of (document, word) are read for the totals and for the frequencies: one shuffle of the pieces serves both."""
+    monkeypatch.setattr(source, "LEAST_TASK", 1)  # several tasks: one alone needs no shuffle
+    path = folder(**{k: v for k, v in TEXTS.items() if isinstance(v, str)})
+    counted = ops.max_tf(read_file_pieces(spark, path, 50, "words"), "path", "content")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plan.count("MapInArrow") == 1 and "ReusedExchange" in plan
+
+
 def test_listing(spark, tmp_path):
     for name in ("a b/k=1/x.txt", "a b/k=1/_hidden", "a b/.hidden", "a b/plain.txt", "a b/sub/not-listed.txt", "c%41+d/y[1].txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
