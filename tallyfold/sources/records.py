@@ -16,9 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pieces import LOOK, PIECE_BYTES, file_pieces, listed, locate, planned
-
-BATCH_BYTES = 4 << 20  # of records that are handed on at once
+from .pieces import BATCH_BYTES, LOOK, PIECE_BYTES, file_pieces, locate, tasks_of
 
 
 def _ends(block: bytes, inside: bool) -> tuple[np.ndarray, bool]:
@@ -87,8 +85,7 @@ def read_quoted_records(spark: SparkSession, path: str | Sequence[str], piece_by
     pieces = file_pieces(spark, path, piece_bytes, "bytes", "quotes").where("size > 0")
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row per piece
     states = pieces.select("path", "start", "end", "size", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).alias("inside"))
-    # a few numbers per piece: as many tasks as the source has, where small rows would else be put into one
-    tasks = len(planned(listed([path] if isinstance(path, str) else path), piece_bytes, whole=False))
-    dealt = states.repartition(max(1, tasks), "path", "start")
+    # a few numbers per piece: as many tasks as read the pieces, where small rows would else be put into one
+    dealt = states.repartition(max(1, len(tasks_of(spark, path, piece_bytes))), "path", "start")
     found = dealt.mapInArrow(_cut, "path string, start bigint, record binary")
     return found.select("path", "start", F.make_valid_utf8(F.col("record").cast("string")).alias("record"))

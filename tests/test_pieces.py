@@ -130,6 +130,12 @@ def test_records_and_their_places(spark, folder):
         assert sorted((r.start, r.record) for r in got) == [(0, "a"), (2, '"b\nc""\n"'), (11, ""), (12, '"open\nto the end')]
 
 
+def test_records_are_cut_by_few_tasks(spark, folder):
+    path = folder(a='x,"y\n"\n' * 2000)
+    got = read_quoted_records(spark, path, 1000).select("start", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.start for r in got) == [7 * i for i in range(2000)] and len({r.task for r in got}) == 1
+
+
 def test_pairs_come_back_over_pieces(spark, out):
     df = spark.createDataFrame([(1, 'a\tb\n"', None), (2, "", "x"), (3, None, " é \n\n"), (4, "\\", '"\n"')], "k INT, t STRING, u STRING")
     write_pairs(df, out, keys="k", fmt="tsv", files=2)
