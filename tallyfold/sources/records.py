@@ -10,6 +10,7 @@ end.  Nothing is guessed, and no task reads more than its piece and one record.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -61,19 +62,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
+    rows, held = [], 0
     for task in batches:
-        for piece in task.to_pylist():
-            store, path, _ = locate(piece["path"])
-            rows, held = [], 0
+        pieces = sorted(task.to_pylist(), key=lambda p: (p["path"], p["start"]))
+        for address, inside in groupby(pieces, key=lambda p: p["path"]):
+            store, path, _ = locate(address)
             with store.open_input_file(path) as file:
-                for at, record in records_of(file, piece["start"], piece["end"], piece["size"], piece["inside"]):
-                    rows.append((piece["path"], at, record))
-                    held += len(record) + 64
-                    if held > BATCH_BYTES:
-                        yield batch(rows)
-                        rows, held = [], 0
-            if rows:
-                yield batch(rows)
+                for piece in inside:
+                    for at, record in records_of(file, piece["start"], piece["end"], piece["size"], piece["inside"]):
+                        rows.append((address, at, record))
+                        held += len(record) + 64
+                        if held > BATCH_BYTES:
+                            yield batch(rows)
+                            rows, held = [], 0
+    if rows:
+        yield batch(rows)
 
 
 def read_quoted_records(spark: SparkSession, path: str | Sequence[str], piece_bytes: int = PIECE_BYTES) -> DataFrame:

@@ -143,6 +143,14 @@ def test_pairs_come_back_over_pieces(spark, out):
         assert rows(read_pairs(spark, out, "k INT, t STRING, u STRING", piece_bytes=size)) == rows(df)
 
 
+def test_quoted_text_over_pieces_is_parsed_by_few_tasks(spark, folder):
+    text = "k,t\n" + "".join(f'{i},"a\n""{i}"""\n' for i in range(900))
+    got = read_delimited(spark, folder(a=text, b=text), "k INT, t STRING", quoted=True, multiline=True, piece_bytes=2000)
+    found = got.select("k", "t", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.k, r.t) for r in found) == sorted(2 * [(i, f'a\n"{i}"') for i in range(900)])
+    assert len({r.task for r in found}) <= 2
+
+
 def test_pieces_are_for_quoted_newlines_only(spark, folder):
     with pytest.raises(ValueError):
         read_delimited(spark, folder(a="x"), "a STRING", piece_bytes=10)
