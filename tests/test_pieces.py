@@ -107,6 +107,14 @@ def test_listing(spark, tmp_path):
         read_file_pieces(spark, str(tmp_path), cut="sometimes")
 
 
+def test_lines_of_joined_pieces_are_whole(spark, folder):
+    """As the query does it: several files of many pieces, in few tasks, joined by their places."""
+    texts = {n: "".join(f"{n}{i} ẞ字\U0001f600\n" for i in range(300)) for n in "xyz"}
+    pieces = read_file_pieces(spark, folder(**texts), 37)
+    assert pieces.rdd.getNumPartitions() < 50 < pieces.count() / 4
+    assert joined(pieces) == {f"{n}.txt": t for n, t in texts.items()}
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
