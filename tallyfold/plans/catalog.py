@@ -601,9 +601,10 @@ def lines_read_folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _number_lines(spark: SparkSession, job: Callable[..., DataFrame], folder: str, key: str, value: str, **options: object) -> DataFrame:
-    """The lines of a job that gives a number per key, cut at the tab."""
+    """The lines of a job that gives a number per key, cut at the tab; an empty number is NULL, as it was written."""
     lines = _job_lines(spark, job, folder, **options)
-    return lines.select(F.split_part("line", F.lit("\t"), F.lit(1)).alias(key), F.split_part("line", F.lit("\t"), F.lit(2)).cast("double").alias(value))
+    number = F.nullif(F.split_part("line", F.lit("\t"), F.lit(2)), F.lit(""))
+    return lines.select(F.split_part("line", F.lit("\t"), F.lit(1)).alias(key), number.cast("double").alias(value))
 
 
 def lines_avg_price(spark: SparkSession, sf_dir: str) -> DataFrame:
